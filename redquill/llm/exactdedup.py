@@ -47,8 +47,9 @@ def judge(docs: DataFrame, hot_rows: int = HOT_ROWS, extra: tuple[str, ...] = ()
     own = [F.col(c).alias(f"_x_{c}") for c in extra]
     rows = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("_len"), normalised(F.col("text")).alias("_norm"), *own)
     rows, hot = _salted(rows.withColumn("_key", F.xxhash64("_norm")), hot_rows)
-    placed = rows.drop("_key").repartitionByRange("_norm", "_salt")
-    group = Window.partitionBy("_norm", "_salt")
+    same = ["_norm", "_salt"] if hot else ["_norm"]  # a constant would hide from the window that its rows lie together
+    placed = rows.drop("_key").repartitionByRange(*same)
+    group = Window.partitionBy(*same)
     best = [F.col("_len").desc(), F.col("doc_id").asc_nulls_last()]
     place = F.row_number().over(group.orderBy(*best))
     first = placed.withColumns({"_place": place, "_keep": F.first("doc_id").over(group.orderBy(*best)), "_most": F.first("_len").over(group.orderBy(*best)), "_n": F.count("*").over(group)})
