@@ -17,10 +17,31 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 #: Words that one Python worker remembers before its memory is emptied and filled anew.
-MEMO = 600_000
+MEMO = 1_200_000
+_LOWER = bytes(ord(chr(i).lower()) for i in range(256))
+
+
+def _byte_letters() -> dict[int, str]:
+    """What the byte-level step makes of a Latin-1 character: a letter for each byte of its UTF-8 form."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+    return {i: "".join(other.get(b, chr(b)) for b in chr(i).encode()) for i in range(256) if i != 32}
+
+
+_BYTES = _byte_letters()
+_ENDS = frozenset(b".,;:!?")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def _split(word: bytes) -> list[str]:
+    """The pre-tokenizer's pieces of a word between white space."""
+    if word.isalpha():
+        return [word.decode("ascii")]
+    if word[-1] in _ENDS and word[:-1].isalpha():
+        return [word[:-1].decode("ascii"), chr(word[-1])]
+    return _PIECES.findall(word.decode("latin-1"))
+
+
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
@@ -33,9 +54,11 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer.from_file(path)  # for pieces: normalised and split already
+        self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -57,7 +80,7 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Puts pieces into the memory; many go to the library as one text."""
         groups = [words[at : at + 256] for at in range(0, len(words), 256)]
-        for some, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        for some, got in zip(groups, self.model.encode_batch_fast([" ".join(g).translate(_BYTES) for g in groups], add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
@@ -71,8 +94,7 @@ class Encoder:
         split: list[tuple[int, list[bytes]]] = []
         for i, text in enumerate(texts):
             try:
-                raw = text.lower().encode("latin-1") if self.by_word else None
-                text.encode("latin-1")
+                raw = text.encode("latin-1").translate(_LOWER) if self.by_word else None
             except UnicodeEncodeError:
                 raw = None
             if raw is None or any(s in text for s in self.special):
@@ -86,11 +108,11 @@ class Encoder:
         found = [(i, ws, list(map(get, ws))) for i, ws in split]
         lacking = [x for x in found if None in x[2]]
         new = {w for _, ws, vs in lacking for w, v in zip(ws, vs) if v is None}
-        pieces = {w: _PIECES.findall(w.decode("latin-1")) for w in new}
+        pieces = {w: _split(w) for w in new}
         self.learn(list({p for ps in pieces.values() for p in ps if p not in known}))
         memo.update((w, known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps))) for w, ps in pieces.items())
         for i, ws, vs in found:
-            out[i] = b"".join(map(memo.__getitem__, ws) if None in vs else vs)
+            out[i] = b"".join([memo[w] if v is None else v for w, v in zip(ws, vs)] if None in vs else vs)
         return out
 
 
