@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 BLANK = r"[\x20\x09-\x0D]+"
-HOT_ROWS, HOT_SHARE, SALTS = 1_000, 4_096, 64
+HOT_ROWS, HOT_SHARE, SALTS, BEGIN = 1_000, 4_096, 64, 64
 
 
 def normalised(text: Column) -> Column:
@@ -33,8 +33,9 @@ def normalised(text: Column) -> Column:
 def _salted(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, bool]:
     """Adds ``_salt``: 0, but for texts that very many rows share."""
     counts = rows.groupBy("_key").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = [r["_key"] for r in counts.where(F.col("_n") > max(hot_rows, total // HOT_SHARE)).collect()]  # fewer than HOT_SHARE
+    seen = counts.agg(F.sum("_n").alias("all"), F.max("_n").alias("most")).first()
+    limit = max(hot_rows, (seen["all"] or 0) // HOT_SHARE)
+    hot = [r["_key"] for r in counts.where(F.col("_n") > limit).collect()] if (seen["most"] or 0) > limit else []  # fewer than HOT_SHARE
     if not hot:
         return rows.withColumn("_salt", F.lit(0)), False
     listed = rows.sparkSession.createDataFrame([(k,) for k in hot], "_key long").withColumn("_hot", F.lit(True))
@@ -47,9 +48,11 @@ def judge(docs: DataFrame, hot_rows: int = HOT_ROWS, extra: tuple[str, ...] = ()
     own = [F.col(c).alias(f"_x_{c}") for c in extra]
     rows = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("_len"), normalised(F.col("text")).alias("_norm"), *own)
     rows, hot = _salted(rows.withColumn("_key", F.xxhash64("_norm")), hot_rows)
-    same = ["_norm", "_salt"] if hot else ["_norm"]  # a constant would hide from the window that its rows lie together
-    placed = rows.drop("_key").repartitionByRange(*same)
-    group = Window.partitionBy(*same)
+    # Splitters are sampled from beginnings and hashes, so that the sample stays small where texts are long.
+    # A constant salt would hide from the window that its rows lie together, so it's named only where it varies.
+    dealt = ["_begin", "_key", "_salt"] if hot else ["_begin", "_key"]
+    placed = rows.withColumn("_begin", F.substring("_norm", 1, BEGIN)).repartitionByRange(*dealt)
+    group = Window.partitionBy(*dealt, "_norm")
     best = [F.col("_len").desc(), F.col("doc_id").asc_nulls_last()]
     place = F.row_number().over(group.orderBy(*best))
     first = placed.withColumns({"_place": place, "_keep": F.first("doc_id").over(group.orderBy(*best)), "_most": F.first("_len").over(group.orderBy(*best)), "_n": F.count("*").over(group)})
