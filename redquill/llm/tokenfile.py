@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, partitions, stored
 from .tokens import chunks, encoder
 
 # Fixed values of the published seekable format.
@@ -193,4 +193,4 @@ def read_token_files(shards: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     listed = shards.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long").alias("base"))
-    return listed.repartition(F.col("path")).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.repartition(partitions(shards.sparkSession), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
