@@ -8,15 +8,20 @@ keeps the shingle that arrived first; a shingle ends as soon as its next
 arrival is later than every register's. Two documents agree in a register with
 the probability of their probability Jaccard similarity.
 
-Documents of equal words are one node. Nodes that agree in a whole band of
-registers are candidates: every node of a bucket with the bucket's centre, which
-is the node that shares most buckets' places. A pair is a link if the Jaccard
-similarity of its shingle sets is ``THRESHOLD`` or more. Components of links are
-classes. Then buckets whose nodes are still in several classes are gone through
-again, with further centres, until every pair of nodes of one bucket is in one
-class or has been compared; so banding alone decides what is compared, and no
-bucket is capped. With ``BANDS`` bands of ``ROWS`` registers a pair at 0.8 is in
-no common bucket with a probability below 1e-5.
+Documents of equal words are one node. Only nodes that agree with another in a
+whole band of registers go on: with ``BANDS`` bands of ``ROWS`` registers a node
+with a neighbour at 0.8 misses it with a probability below 1e-5. A pair is a
+link if the Jaccard similarity of its shingle sets is ``THRESHOLD`` or more.
+
+Large groups would give all pairs, so exact filters stand before the comparison.
+In the order of frequency among the nodes that go on, rarest first, two sets at
+the threshold share a shingle of their first ones (prefix), early enough for the
+rest to reach the overlap that they need (position); a shingle of one node alone
+meets nobody. Each shared shingle's nodes are compared with one centre, the node
+in which it comes earliest. Components of the links found are classes; then all
+pairs that the filters leave between different classes are compared too. So no
+link between different classes is lost, no bucket is capped, and within a class
+no pairs are made.
 
 Shingles are 64-bit hashes in the sketch and 32 bits of them in the comparison.
 
@@ -33,19 +38,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
-#: Centres that each bucket of several classes gets in one further round.
-CENTRES = 8
+WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 MEMO = 500_000
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _M = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64(0xA5A5A5A5A5A5A5A5)
 _MEMO: dict[str, int] = {}
 
 
@@ -56,8 +60,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word(chunk: str) -> int:
-    word = _TRIM.sub("", chunk)
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1 if word else 0
+    word = chunk if chunk.isalnum() else _TRIM.sub("", chunk)
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1 if word else 0
 
 
 def word_codes(text: str) -> np.ndarray:
@@ -90,20 +94,19 @@ def probminhash(items: np.ndarray, weight: np.ndarray, registers: int) -> np.nda
     time, who = np.full(registers, np.inf), np.zeros(registers, np.uint64)
     if not len(items):
         return who
-    now, state, ids = np.zeros(len(items)), items.copy(), items
-    turns = max(1, -(-5 * registers // len(items)))
+    ids, now, turn = items, np.zeros(len(items)), 0
+    turns = -(-7 * registers // len(items)) + 1
     while len(ids):
-        arrivals, places = np.empty((turns, len(ids))), np.empty((turns, len(ids)), np.int64)
-        for j in range(turns):
-            state = _mix(state + _M)
-            now = now - np.log(((state >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight
-            arrivals[j], places[j] = now, _mix(state ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(registers)
-        t, r = arrivals.ravel(), places.ravel()
-        near = np.flatnonzero(t < time[r])
-        order = near[np.argsort(-t[near], kind="stable")]
-        time[r[order]], who[r[order]] = t[order], np.tile(ids, turns)[order]  # of several the earliest is written last
-        going = now < time.max()
-        now, state, ids, weight, turns = now[going], state[going], ids[going], weight[going], 1
+        state = _mix(ids + _M * np.arange(turn, turn + turns, dtype=np.uint64)[:, None])
+        gaps = -np.log(((state >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight
+        gaps[0] += now
+        arrivals = np.cumsum(gaps, axis=0)
+        t, r = arrivals.ravel(), (_mix(state ^ _PLACE) % np.uint64(registers)).astype(np.int64).ravel()
+        np.minimum.at(time, r, t)
+        won = np.flatnonzero(t == time[r])
+        who[r[won]] = ids[won % len(ids)]
+        going = arrivals[-1] < time.max()
+        ids, now, weight, turn, turns = ids[going], arrivals[-1][going], weight[going], turn + turns, 2
     return who
 
 
@@ -123,31 +126,25 @@ def _sketched(bands: int, rows: int, width: int):
                     h = _mix(h + who[:, j])
                 keys.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
                 band.append(h.view(np.int64))
-                small.append(np.unique((items >> np.uint64(32)).astype(np.uint32)).tobytes())
-            offsets = np.arange(0, bands * len(texts) + 1, bands, dtype=np.int32)
-            flat = np.concatenate(band) if band else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(small, pa.binary())], names=["doc_id", "text_hash", "node", "bands", "shingles"])
+                small.append(np.unique((items >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            lists = lambda xs, kind: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), np.concatenate([np.zeros(0, kind), *xs]))
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), lists(band, np.int64), lists(small, np.int32)], names=["doc_id", "text_hash", "node", "bands", "shingles"])
 
     return run
 
 
-def _jaccards(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        same = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(same / (len(x) + len(y) - same) if len(x) + len(y) else 1.0)
-    return pd.Series(out, dtype=float)
+def _overlap(n: Column, m: Column, threshold: float) -> Column:
+    """The overlap that sets of n and m need."""
+    return F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) with whether they are linked, stored."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
-    both = pairs.join(left, "a").join(right, "b")
-    # Sizes bound the similarity from above; only what may reach the threshold is compared.
-    lengths = F.least(F.length("_x"), F.length("_y")) >= F.floor(threshold * F.greatest(F.length("_x"), F.length("_y")))
-    return stored(both.select("a", "b", F.when(lengths, F.pandas_udf(_jaccards, "double")("_x", "_y")).otherwise(0.0).alias("_j")).select("a", "b", (F.col("_j") >= threshold - 1e-12).alias("linked")), "near-pairs")
+    same = F.size(F.array_intersect("_x", "_y"))
+    linked = same >= threshold * (F.size("_x") + F.size("_y") - same) - 1e-9
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked")), "near-pairs")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,47 +170,53 @@ def components(links: DataFrame) -> DataFrame:
     return stored(classes.unionByName(classes.select(F.col("class").alias("node"), "class").distinct()), "near-classes")
 
 
-def _labelled(places: DataFrame, classes: DataFrame) -> DataFrame:
-    return places.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+def _entries(sets: DataFrame, threshold: float) -> DataFrame:
+    """(token, node, n, rest): shared shingles early enough in a node, and how many follow from there."""
+    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = tokens.join(common, "token")
+    order = Window.partitionBy("node").orderBy("df", "token")
+    # Shingles of one node alone come first; they are what is not among the common ones.
+    place = F.col("n") - F.count("*").over(Window.partitionBy("node")) + F.row_number().over(order) - 1
+    early = own.withColumn("rest", (F.col("n") - place).cast("int")).where(F.col("rest") >= F.ceil(threshold * F.col("n") - 1e-9))
+    return stored(early.select("token", "node", "n", "rest"), "near-entries")
 
 
-def find_links(sketches: DataFrame, threshold: float = THRESHOLD, centres: int = CENTRES) -> tuple[DataFrame, DataFrame]:
-    """Compared pairs (a, b, linked) and classes (node, class) of sketches' nodes."""
-    nodes = sketches.groupBy("node").agg(F.first("bands").alias("bands"))
-    placed = nodes.select("node", F.explode("bands").alias("band"))
-    sizes = placed.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = stored(placed.join(sizes, "band"), "near-places")
-    score = shared.groupBy("node").agg(F.sum("_n").alias("_score"))
-    shared = stored(shared.drop("_n").join(score, "node"), "near-scored")
-    sets = stored(sketches.join(score.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
-    best = F.max(F.struct("_score", "node"))["node"]
-    star = shared.join(shared.groupBy("band").agg(best.alias("_c")), "band").where("node <> _c")
-    pairs = _verified(star.select(F.least("node", "_c").alias("a"), F.greatest("node", "_c").alias("b")).distinct(), sets, threshold)
+def find_links(sketches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compared pairs (a, b, linked), classes (node, class) and words (words, node).
+
+    A node is the number of the first row that has its words.
+    """
+    words = stored(sketches.groupBy(F.col("node").alias("words")).agg(F.min("row").alias("node")), "near-words")
+    own = sketches.select(F.col("row").alias("node"), "bands").join(words, "node", "left_semi")
+    placed = own.select("node", F.explode("bands").alias("band"))
+    several = placed.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
+    going = placed.join(several, "band", "left_semi").select("node").distinct()
+    sets = stored(sketches.select(F.col("row").alias("node"), "shingles").join(going, "node", "left_semi"), "near-sets")
+    entries = _entries(sets, threshold)
+    centres = entries.groupBy("token").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("s"), "node", "n", "rest")).alias("_c")).select("token", F.col("_c.node").alias("_node"), F.col("_c.n").alias("_n"), F.col("_c.rest").alias("_rest"))
+    reach = F.least("rest", "_rest") >= _overlap(F.col("n"), F.col("_n"), threshold)
+    pair = [F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")]
+    star = entries.join(centres, "token").where((F.col("node") != F.col("_node")) & reach).select(*pair).distinct()
+    pairs = _verified(star, sets, threshold)
     classes = components(pairs.where("linked"))
-    while True:
-        # Buckets whose nodes are in several classes, with the pairs that no round has compared.
-        own = _labelled(shared, classes)
-        several = own.groupBy("band").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi").select("band")
-        open_ = own.join(several, "band", "left_semi")
-        done = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = F.row_number().over(Window.partitionBy("band").orderBy("_turn", F.col("_score").desc(), "node"))
-        met = done.groupBy("a").agg(F.count("*").alias("_turn")).withColumnRenamed("a", "node")
-        chosen = open_.join(met, "node", "left").na.fill({"_turn": 0}).withColumn("_rank", rank).where(F.col("_rank") <= centres).select("band", F.col("node").alias("_c"), F.col("class").alias("_cc"))
-        fresh = open_.join(chosen, "band").where("class <> _cc").select(F.least("node", "_c").alias("a"), F.greatest("node", "_c").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        more = _verified(fresh, sets, threshold)
-        counted = more.agg(F.count("*"), F.count_if("linked")).first()
-        if not counted[0]:
-            break
-        pairs = stored(pairs.unionByName(more), "near-pairs")
-        if counted[1]:
-            classes = components(pairs.where("linked"))
-    return pairs, classes
+    # What the filters leave between different classes: rows outside their token's largest class, with all others.
+    known = stored(entries.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "near-known")
+    sizes = known.groupBy("token", "class").agg(F.count("*").alias("_k")).groupBy("token").agg(F.max(F.struct("_k", "class"))["class"].alias("_main"), F.count("*").alias("_classes")).where("_classes > 1")
+    split = known.join(sizes.select("token", "_main"), "token")
+    lesser = split.where("class <> _main").select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("rest").alias("_rest"), F.col("class").alias("_class"))
+    across = split.drop("_main").join(lesser, "token").where((F.col("class") != F.col("_class")) & reach).select(*pair).distinct()
+    more = _verified(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold)
+    pairs = pairs.unionByName(more)
+    if more.where("linked").limit(1).count():
+        classes = components(pairs.where("linked"))
+    return pairs, classes, words
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """A stored row for each document: row, doc_id, text_hash, node, bands, shingles."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    made = own.mapInArrow(_sketched(bands, rows, width), "doc_id long, text_hash long, node binary, bands array<long>, shingles binary")
+    made = own.mapInArrow(_sketched(bands, rows, width), "doc_id long, text_hash long, node binary, bands array<long>, shingles array<int>")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
 
 
@@ -224,11 +227,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     the verified links of the row's words to other words.
     """
     sketches = sketch(docs, bands, rows, width)
-    pairs, classes = find_links(sketches, threshold)
+    pairs, classes, words = find_links(sketches, threshold)
     linked = pairs.where("linked")
     links = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    known = classes.join(links, "node", "left")
-    members = stored(sketches.select("row", "doc_id", "text_hash", "node").join(known, "node", "left").withColumn("class", F.coalesce("class", "node")).na.fill({"links": 0}).drop("node"), "near-members")
+    known = words.join(classes.join(links, "node", "left"), "node", "left").select(F.col("words").alias("node"), F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    members = stored(sketches.select("row", "doc_id", "text_hash", "node").join(known, "node").drop("node"), "near-members")
     first = members.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r"))).alias("_w"), F.count("*").alias("class_size"))
     return members.join(first, "class").select("doc_id", F.col("_w.d").alias("class_id"), "class_size", "links", (F.col("row") == F.col("_w.r")).alias("kept"), "text_hash")
 

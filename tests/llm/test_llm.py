@@ -304,9 +304,7 @@ def brute_classes(rows):
     return Counter(tuple(sorted(map(str, g))) for g in groups.values())
 
 
-@pytest.mark.parametrize("centres", [neardup.CENTRES, 1])
-def test_near_duplicates_by_brute_force(spark, centres, monkeypatch):
-    monkeypatch.setattr(neardup.find_links, "__defaults__", (neardup.THRESHOLD, centres))
+def test_near_duplicates_by_brute_force(spark):
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = neardup.near_duplicates(docs).collect()
