@@ -53,6 +53,20 @@ def held_out(doc_id: Column) -> Column:
     return remainder5(doc_id) == 0
 
 
+_REMEMBERS: list = []
+
+
+def remembers(name: str, forget) -> None:
+    """Says whose words this Python worker remembers now; what another operator remembered is forgotten.
+
+    Workers serve several operators one after the other, and the memory of one is of no use to the next.
+    """
+    if not _REMEMBERS or _REMEMBERS[0] != name:
+        if _REMEMBERS:
+            _REMEMBERS[1]()
+        _REMEMBERS[:] = [name, forget]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -43,10 +43,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import remembers, stored
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
-MEMO = 500_000
+MEMO = 300_000
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -65,6 +65,7 @@ def _word(chunk: str) -> int:
 
 
 def word_codes(text: str) -> np.ndarray:
+    remembers("neardup", _MEMO.clear)
     chunks = text.lower().split()
     got = list(map(_MEMO.get, chunks))
     if None in got:

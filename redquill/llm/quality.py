@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, remembers
 from .toxicity import _logistic
 
 BITS = 18
 #: Labelled texts of each class that a model is fitted on at most.
 PER_CLASS = 3_000
 THRESHOLD = 0.3
-MEMO = 500_000
+MEMO = 300_000
 _DIGIT, _RUN = re.compile(r"\d+"), re.compile(r"(.)\1{2,}")
 
 
@@ -51,6 +51,7 @@ _MEMO: dict[str, int] = {}
 
 
 def _codes(text: str) -> np.ndarray:
+    remembers("quality", _MEMO.clear)
     chunks = text.split()
     got = list(map(_MEMO.get, chunks))
     if None in got:

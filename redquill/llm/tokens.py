@@ -8,6 +8,8 @@ import re
 
 import numpy as np
 
+from .common import remembers
+
 # The classes that the pre-tokenizer's pattern names, within Latin-1 and after lower-casing.
 _LETTER = "a-zªµºß-öø-ÿ"
 _NUMBER = "0-9²³¹¼½¾"
@@ -89,7 +91,12 @@ class Encoder:
             else:
                 self.pieces.update((w, self.whole(w)) for w in some)
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.pieces.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        remembers(f"tokens {id(self)}", self.forget)
         out: list[bytes] = [b""] * len(texts)
         split: list[tuple[int, list[bytes]]] = []
         for i, text in enumerate(texts):
@@ -102,8 +109,7 @@ class Encoder:
             else:
                 split.append((i, raw.split()))  # at ASCII white space; the rest is for the pattern
         if len(self.memo) > MEMO:
-            self.memo.clear()
-            self.pieces.clear()
+            self.forget()
         memo, known, get = self.memo, self.pieces, self.memo.get
         found = [(i, ws, list(map(get, ws))) for i, ws in split]
         lacking = [x for x in found if None in x[2]]
