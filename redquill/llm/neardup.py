@@ -47,6 +47,8 @@ from .common import remembers, stored
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 MEMO = 300_000
+#: Rows sketched at a time; bounds what a Python worker holds.
+SLICE = 1_000
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -115,7 +117,7 @@ def _sketched(bands: int, rows: int, width: int):
     registers = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = batch.column(1).to_pylist()
             keys, band, small, lone = [], [], [], np.arange(bands, dtype=np.uint64)
             for text in texts:
