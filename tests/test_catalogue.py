@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from redquill.operators.textdiff import tokens, word_diff
-from redquill.plans import catalogue
+from redquill.plans import catalogue, packages
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,10 +24,14 @@ def plain(rows, names):
     return sorted((tuple(value(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+QUERIES = {**catalogue.QUERIES, **packages.QUERIES}
+ORACLES = {**catalogue.ORACLES, **packages.ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
-    want = duck.sql(catalogue.ORACLES[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert plain(map(tuple, df.collect()), df.columns) == plain(want.fetchall(), want.columns)
 
