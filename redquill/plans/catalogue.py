@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import MARKER, ORACLE, SPARK, Dialect
-from ..operators.textdiff import diff_rows
+from ..operators import markdown, schedule
+from ..operators.textdiff import char_diff, diff_rows, insertion_diff, word_diff as word_changes
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,6 +429,49 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff_rows(turn_pairs(spark, sf_dir), "conv_id long, turn long")
 
 
+def semantic_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference rows after semantic clean-up, with whole words as anchors."""
+    return diff_rows(turn_pairs(spark, sf_dir), "conv_id long, turn long", lambda old, new: word_changes(old, new, semantic=True))
+
+
+def headed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and the same with a word put in front, or with their first letter gone where the turn's number is odd."""
+    c = read(spark, sf_dir, "conversations")
+    new = F.when(F.col("turn") % 2 == 1, F.expr("substring(text, 2)")).otherwise(F.concat(F.lit("Well, "), "text"))
+    return c.where("text <> ''").select("conv_id", "turn", F.col("text").alias("old"), new.alias("new"))
+
+
+def char_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences by characters."""
+    return diff_rows(headed_turns(spark, sf_dir), "conv_id long, turn long", char_diff)
+
+
+def insertion_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose new version is the old one with insertions only, and how many characters are new."""
+    rows = diff_rows(headed_turns(spark, sf_dir), "conv_id long, turn long", insertion_diff)
+    return rows.groupBy("conv_id", "turn").agg(F.sum(F.when(F.col("type") == "insert", F.length("text")).otherwise(0)).alias("inserted"))
+
+
+def markdown_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without their marks, and how many marks there were; every third document is in bold, every fifth underlined."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[*_~<&+\n]", " ").alias("text"))
+    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x **"), "text", F.lit("**"))).when(F.col("doc_id") % 5 == 0, F.concat(F.lit("++"), "text", F.lit("++ y"))).otherwise(F.col("text"))
+    return markdown.stripped(docs.where("text <> ''").select("doc_id", marked.alias("text")), "doc_id long").select("doc_id", "clean", F.size("hints").alias("marks"))
+
+
+def dependency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of each order's lines as a batch: a line may use what an earlier line captures."""
+    lines = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.col("l_linenumber").alias("op"),
+        F.when(F.col("l_partkey") % 4 == 0, "comment").otherwise("redline").alias("kind"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("k"), F.col("l_linenumber"))).alias("made"),
+        F.when((F.col("l_suppkey") % 3 == 0) & (F.col("l_linenumber") > 1), F.concat(F.lit("k"), (F.floor(F.col("l_linenumber") / 2) * 2 - 1))).alias("used"),
+        F.concat(F.lit("s"), F.col("l_linenumber")).alias("selector"),
+    )
+    return schedule.scheduled(lines)
+
+
 def _rebuilt(left_out: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept = word_diff(spark, sf_dir).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.when(F.col("type") != left_out, F.struct("seq", "text")))).alias("s"))
@@ -436,6 +480,12 @@ def _rebuilt(left_out: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+QUERIES |= {f.__name__: f for f in (semantic_diff, char_diffs, insertion_only, markdown_stripped, dependency_order)}
 QUERIES |= {"word_diff": word_diff, "diff_reconstruct_old": _rebuilt("insert"), "diff_reconstruct_new": _rebuilt("delete")}
 _PAIRS = "FROM conversations n JOIN conversations o ON o.conv_id = n.conv_id AND o.turn = n.turn - 1"
 ORACLES |= {"diff_reconstruct_old": f"SELECT n.conv_id, n.turn, o.text {_PAIRS}", "diff_reconstruct_new": f"SELECT n.conv_id, n.turn, n.text {_PAIRS}"}
+ORACLES |= {
+    "insertion_only": "SELECT conv_id, turn, CAST(6 AS BIGINT) AS inserted FROM conversations WHERE text <> '' AND turn % 2 = 0",
+    "markdown_stripped": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x ' || t WHEN doc_id % 5 = 0 THEN t || ' y' ELSE t END AS clean, CAST(CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS marks
+    FROM (SELECT doc_id, regexp_replace(text, '[*_~<&+\\n]', ' ', 'g') AS t FROM documents) WHERE t <> ''""",
+}
