@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import ORACLE
-from ..operators import markup
+from ..operators import markup, validation
 from ..sources import packages
 
 KEYS = "doc_id long"
@@ -76,7 +76,13 @@ def markup_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.plain_text(_paragraphs(spark, sf_dir), ["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (package_parts, package_tokens, markup_paragraphs, markup_segments, markup_plain_text)}
+def markup_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each issue occurs in a document's markup."""
+    parts = packages.parts_of(_packages(spark, sf_dir), KEYS).where("part_name = 'word/document.xml'")
+    return validation.issues(parts, KEYS).groupBy("doc_id", "code", "severity").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (package_parts, package_tokens, markup_paragraphs, markup_segments, markup_plain_text, markup_issues)}
 QUERIES |= {"markup_accepted": _view("accepted"), "markup_rejected": _view("rejected")}
 
 _LINES = f"""lines AS (SELECT doc_id, idx, regexp_replace(text, '{markup.ILLEGAL}', '', 'g') AS text, CASE WHEN idx % 5 = 0 THEN 'del' WHEN idx % 5 = 1 AND idx > 1 THEN 'ins' ELSE '' END AS kind,
@@ -111,6 +117,8 @@ ORACLES: dict[str, str] = {
     "markup_segments": f"""WITH {_LINES} SELECT doc_id, idx, CAST(1 AS INTEGER) AS seg, text, CASE kind WHEN 'ins' THEN 'insertion' WHEN 'del' THEN 'deletion' ELSE 'baseline' END AS kind,
   CASE WHEN kind <> '' THEN 'a' END AS author, CASE WHEN kind <> '' THEN '1' END AS revision_id, CASE WHEN kind <> 'del' THEN 0 END AS accepted_start, CASE WHEN kind <> 'ins' THEN 0 END AS rejected_start FROM lines WHERE text <> ''""",
     "markup_plain_text": f"WITH {_views('accepted')} SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text FROM view GROUP BY doc_id",
+    "markup_issues": f"""WITH {_LINES}, found AS (SELECT doc_id, sum(CASE WHEN kind <> '' THEN 1 ELSE 0 END + CASE WHEN mark <> '' THEN 1 ELSE 0 END) - 1 AS again, sum(CASE WHEN text = '' THEN 1 ELSE 0 END) AS empty FROM lines GROUP BY doc_id)
+  SELECT doc_id, 'DUPLICATE_REVISION_ID' AS code, 'error' AS severity, CAST(again AS BIGINT) AS n FROM found WHERE again > 0 UNION ALL SELECT doc_id, 'EMPTY_TEXT_ELEMENT', 'warning', CAST(empty AS BIGINT) FROM found WHERE empty > 0""",
     "markup_accepted": f"WITH {_views('accepted')} SELECT doc_id, idx, text FROM view",
     "markup_rejected": f"WITH {_views('rejected')} SELECT doc_id, idx, text FROM view",
 }
