@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import ORACLE
-from ..operators import markup, validation
+from ..operators import markup, redline, validation
 from ..sources import packages
 
 KEYS = "doc_id long"
@@ -82,7 +82,22 @@ def markup_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.issues(parts, KEYS).groupBy("doc_id", "code", "severity").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (package_parts, package_tokens, markup_paragraphs, markup_segments, markup_plain_text, markup_issues)}
+def redline_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both views after every third paragraph is edited as a tracked change, and the refusals of the document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    lines = F.split(F.regexp_replace("text", markup.ILLEGAL, ""), "\n")
+    edit = lambda x, i: F.struct((i + 1).cast("int").alias("idx"), F.concat(F.lit("New "), x, F.lit(" end")).alias("text"))
+    parts = docs.select(
+        "doc_id",
+        markup.document(F.array_join(F.transform(lines, lambda x: markup.markup(x)), "")).alias("payload"),
+        F.filter(F.transform(lines, edit), lambda e: e["idx"] % 3 == 1).alias("edits"),
+    )
+    done = redline.redlined(parts, KEYS, "a", "2020-01-01T00:00:00Z").withColumn("payload", F.when(F.size("refusals") == 0, F.col("payload")))
+    accepted, rejected = (markup.view_text(v).alias(v) for v in ("accepted", "rejected"))
+    return markup.paragraphs(done, KEYS).select("doc_id", "idx", accepted, rejected, "error")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (package_parts, package_tokens, markup_paragraphs, markup_segments, markup_plain_text, markup_issues, redline_views)}
 QUERIES |= {"markup_accepted": _view("accepted"), "markup_rejected": _view("rejected")}
 
 _LINES = f"""lines AS (SELECT doc_id, idx, regexp_replace(text, '{markup.ILLEGAL}', '', 'g') AS text, CASE WHEN idx % 5 = 0 THEN 'del' WHEN idx % 5 = 1 AND idx > 1 THEN 'ins' ELSE '' END AS kind,
@@ -117,6 +132,7 @@ ORACLES: dict[str, str] = {
     "markup_segments": f"""WITH {_LINES} SELECT doc_id, idx, CAST(1 AS INTEGER) AS seg, text, CASE kind WHEN 'ins' THEN 'insertion' WHEN 'del' THEN 'deletion' ELSE 'baseline' END AS kind,
   CASE WHEN kind <> '' THEN 'a' END AS author, CASE WHEN kind <> '' THEN '1' END AS revision_id, CASE WHEN kind <> 'del' THEN 0 END AS accepted_start, CASE WHEN kind <> 'ins' THEN 0 END AS rejected_start FROM lines WHERE text <> ''""",
     "markup_plain_text": f"WITH {_views('accepted')} SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text FROM view GROUP BY doc_id",
+    "redline_views": f"WITH {_LINES} SELECT doc_id, idx, CASE WHEN idx % 3 = 1 THEN 'New ' || text || ' end' ELSE text END AS accepted, text AS rejected, CAST(NULL AS VARCHAR) AS error FROM lines",
     "markup_issues": f"""WITH {_LINES}, found AS (SELECT doc_id, sum(CASE WHEN kind <> '' THEN 1 ELSE 0 END + CASE WHEN mark <> '' THEN 1 ELSE 0 END) - 1 AS again, sum(CASE WHEN text = '' THEN 1 ELSE 0 END) AS empty FROM lines GROUP BY doc_id)
   SELECT doc_id, 'DUPLICATE_REVISION_ID' AS code, 'error' AS severity, CAST(again AS BIGINT) AS n FROM found WHERE again > 0 UNION ALL SELECT doc_id, 'EMPTY_TEXT_ELEMENT', 'warning', CAST(empty AS BIGINT) FROM found WHERE empty > 0""",
     "markup_accepted": f"WITH {_views('accepted')} SELECT doc_id, idx, text FROM view",
