@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import ORACLE
-from ..operators import markup, redline, validation
+from ..operators import markup, redline, resolve, validation
 from ..sources import packages
 
 KEYS = "doc_id long"
@@ -98,6 +98,20 @@ def redline_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (package_parts, package_tokens, markup_paragraphs, markup_segments, markup_plain_text, markup_issues, redline_views)}
+
+
+def _resolved(accept: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = packages.parts_of(_packages(spark, sf_dir), KEYS).where("part_name = 'word/document.xml'")
+        paras = markup.paragraphs(resolve.resolved(parts, KEYS, accept).drop("error"), KEYS)
+        text = F.array_sort(F.collect_list(F.struct("idx", markup.view_text("accepted").alias("text"))))
+        return paras.groupBy("doc_id").agg(F.array_join(F.transform(text, lambda x: x["text"]), "\n").alias("text"), F.bool_or(F.col("mark_ins") | F.col("mark_del") | F.exists("pieces", lambda p: p["kind"] != "baseline")).alias("pending"))
+
+    run.__doc__ = f"Documents' texts after all changes are {'accepted' if accept else 'rejected'} in their markup."
+    return run
+
+
+QUERIES |= {"changes_accepted": _resolved(True), "changes_rejected": _resolved(False)}
 QUERIES |= {"markup_accepted": _view("accepted"), "markup_rejected": _view("rejected")}
 
 _LINES = f"""lines AS (SELECT doc_id, idx, regexp_replace(text, '{markup.ILLEGAL}', '', 'g') AS text, CASE WHEN idx % 5 = 0 THEN 'del' WHEN idx % 5 = 1 AND idx > 1 THEN 'ins' ELSE '' END AS kind,
@@ -135,6 +149,8 @@ ORACLES: dict[str, str] = {
     "redline_views": f"WITH {_LINES} SELECT doc_id, idx, CASE WHEN idx % 3 = 1 THEN 'New ' || text || ' end' ELSE text END AS accepted, text AS rejected, CAST(NULL AS VARCHAR) AS error FROM lines",
     "markup_issues": f"""WITH {_LINES}, found AS (SELECT doc_id, sum(CASE WHEN kind <> '' THEN 1 ELSE 0 END + CASE WHEN mark <> '' THEN 1 ELSE 0 END) - 1 AS again, sum(CASE WHEN text = '' THEN 1 ELSE 0 END) AS empty FROM lines GROUP BY doc_id)
   SELECT doc_id, 'DUPLICATE_REVISION_ID' AS code, 'error' AS severity, CAST(again AS BIGINT) AS n FROM found WHERE again > 0 UNION ALL SELECT doc_id, 'EMPTY_TEXT_ELEMENT', 'warning', CAST(empty AS BIGINT) FROM found WHERE empty > 0""",
+    "changes_accepted": f"WITH {_views('accepted')} SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text, false AS pending FROM view GROUP BY doc_id",
+    "changes_rejected": f"WITH {_views('rejected')} SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text, false AS pending FROM view GROUP BY doc_id",
     "markup_accepted": f"WITH {_views('accepted')} SELECT doc_id, idx, text FROM view",
     "markup_rejected": f"WITH {_views('rejected')} SELECT doc_id, idx, text FROM view",
 }
