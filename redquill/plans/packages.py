@@ -20,9 +20,16 @@ from ..sources import packages
 KEYS = "doc_id long"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text); dealt out where a small table has fewer partitions than the cluster has cores, as parsing costs more than moving."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content): each document as a package of its markup and its plain text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    docs = _documents(spark, sf_dir)
 
     def line(text, at):
         idx = at + 1
@@ -84,7 +91,7 @@ def markup_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redline_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both views after every third paragraph is edited as a tracked change, and the refusals of the document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    docs = _documents(spark, sf_dir)
     lines = F.split(F.regexp_replace("text", markup.ILLEGAL, ""), "\n")
     edit = lambda x, i: F.struct((i + 1).cast("int").alias("idx"), F.concat(F.lit("New "), x, F.lit(" end")).alias("text"))
     parts = docs.select(
