@@ -539,3 +539,17 @@ def test_mined_rules_by_brute_force(spark):
     for own, _ in rows[:100]:
         fits = [k for k, r in enumerate(mined.rules) if r[0] <= set(own)]
         assert mined.match(set(own)) == (min(fits) if fits else None)
+
+
+def test_unlisted_urls_are_judged_by_mined_rules(spark):
+    urls = [f"http://h{i}.net/de/{i}" for i in range(60)] + [f"http://example.net/de/8{i}" for i in range(20)]  # blocked, allowed
+    urls += [f"http://spam.h{i}.org/es/{i}" for i in range(40)]  # blocked
+    plain, spam = [f"http://n{i}.net/fr/{i}" for i in range(30)], [f"http://spam.h{i}.org/en/{i}" for i in range(30)]  # no given rule
+    pages = spark.createDataFrame(list(enumerate(urls + plain + spam)), "page_id long, url string")
+    got = [r for r in urlrules.judge(pages).orderBy("page_id").collect()]
+    assert all(r.rule is None for r in got[len(urls) :])
+    assert {(r.verdict, r.mined_rule is None) for r in got[-len(spam) :]} == {("block", False)}
+    # The given rules block most urls; that alone is no reason to block what they do not name.
+    assert {r.verdict for r in got[len(urls) : -len(spam)]} == {"allow"}
+    only = spark.createDataFrame([(i, u) for i, u in enumerate(urls[:60] + plain)], "page_id long, url string")
+    assert urlrules.judge(only).where("verdict = 'block'").count() == 60
