@@ -318,6 +318,16 @@ def test_near_duplicates_by_brute_force(spark):
     assert neardup.deduplicated(docs).count() == len(groups)
 
 
+def test_near_duplicates_that_repeat_differently(spark):
+    rng, rows = random.Random(5), []
+    for g in range(25):
+        one, two = words(rng, 200, 100_000), words(rng, 200, 100_000)
+        rows += [(2 * g, " ".join([one] * 20 + [two])), (2 * g + 1, " ".join([one] + [two] * 20))]
+    assert sum(brute_classes(rows).values()) == 25
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(8)
     items = rng.integers(1, 2**63, 300).astype(np.uint64)
