@@ -29,10 +29,10 @@ no pairs are made.
 
 Shingles are 64-bit hashes in the sketch and 32 bits of them in the comparison.
 
-Nulls: a null text is empty; texts without words are equal to each other. A null
-doc_id comes after all others. Repeated rows are of one class, and one of them
-stays. A very long text is one sketch like any other. An empty table gives no
-rows.
+Nulls: a null text is empty; texts without words are equal to each other. In a
+text of symbols alone the words are taken as written. A null doc_id comes after
+all others. Repeated rows are of one class, and one of them stays. A very long
+text is one sketch like any other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -65,9 +65,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _code(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1
+
+
 def _word(chunk: str) -> int:
     word = chunk if chunk.isalnum() else _TRIM.sub("", chunk)
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1 if word else 0
+    return _code(word) if word else 0
 
 
 def word_codes(text: str) -> np.ndarray:
@@ -81,6 +85,8 @@ def word_codes(text: str) -> np.ndarray:
             if g is None:
                 got[i] = _MEMO[c] = _word(c)
     codes = np.array(got, np.uint64)
+    if chunks and not codes.any():  # no letter or digit: the words as written
+        return np.array([_code(c) for c in chunks], np.uint64)
     return codes[codes != 0]
 
 

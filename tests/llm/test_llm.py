@@ -328,6 +328,12 @@ def test_near_duplicates_that_repeat_differently(spark):
     assert {r.doc_id: r.class_id for r in got} == {d: d - d % 2 for d, _ in rows}
 
 
+def test_near_duplicates_of_symbols_alone(spark):
+    rows = [(1, "!!! ???"), (2, "*** ---"), (3, "\U0001f600 \U0001f680"), (4, ""), (5, " \n"), (6, None), (7, "!!!  ???"), (8, "one !!!"), (9, "One")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 4, 7: 1, 8: 8, 9: 8}
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(8)
     items = rng.integers(1, 2**63, 300).astype(np.uint64)
