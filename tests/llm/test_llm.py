@@ -569,3 +569,16 @@ def test_unlisted_urls_are_judged_by_mined_rules(spark):
     assert {r.verdict for r in got[len(urls) : -len(spam)]} == {"allow"}
     only = spark.createDataFrame([(i, u) for i, u in enumerate(urls[:60] + plain)], "page_id long, url string")
     assert urlrules.judge(only).where("verdict = 'block'").count() == 60
+
+
+def test_the_bound_on_rules_counts_useful_ones_of_each_label(spark):
+    rows = [([f"a{k}", f"b{k}"], "allow") for k in range(5) for _ in range(10)]  # sure, and with redundant pairs
+    rows += [(["w", "x", "y", "z"], "block")] * 9 + [(["w", "x", "y", "z"], "allow")]
+    for out in "wxyz":  # three of the four say little
+        rows += [([t for t in "wxyz" if t != out], "allow")] * 9
+    table = spark.createDataFrame(rows, "tokens array<string>, label string")
+    mined = urlrules.mine(table, 0.02, 0.8, most_rules=10)
+    assert mined.cut == 0 and (frozenset("wxyz"), "block") in {(r[0], r[1]) for r in mined.rules}
+    with pytest.warns(UserWarning, match="beyond 4"):
+        few = urlrules.mine(table, 0.02, 0.8, most_rules=4)
+    assert few.cut > 0 and {r[1] for r in few.rules} == {"allow", "block"}
