@@ -9,30 +9,31 @@ arrival is later than every register's. Two documents agree in a register with
 the probability of their probability Jaccard similarity.
 
 Documents of equal words are one node. A pair is a link if the Jaccard similarity
-of its shingle sets is ``THRESHOLD`` or more. Only nodes that agree with another
-in a whole band of registers go on. Texts that repeat their shingles differently
-can be far less alike by weight than as sets, so a node has the bands of a second
-sketch too, in which each shingle weighs 1 (the same sketch where none repeats).
-There a register agrees with the probability of the Jaccard similarity itself:
-with ``BANDS`` bands of ``ROWS`` registers a node with a neighbour at 0.8 misses it
-with probability (1 - 0.8^4)^24 = 3e-6, however the two repeat their shingles.
-
-Large groups would give all pairs, so exact filters stand before the comparison.
-In the order of frequency among the nodes that go on, rarest first, two sets at
-the threshold share a shingle of their first ones (prefix), early enough for the
-rest to reach the overlap that they need (position); a shingle of one node alone
-meets nobody. Each shared shingle's nodes are compared with one centre, the node
-in which it comes earliest. Components of the links found are classes; then all
-pairs that the filters leave between different classes are compared too. So no
-link between different classes is lost, no bucket is capped, and within a class
-no pairs are made.
-
-Shingles are 64-bit hashes in the sketch and 32 bits of them in the comparison.
+of its shingle sets is ``THRESHOLD`` or more. Candidates are nodes that agree in a
+whole band of registers. Texts that repeat their shingles differently can be far
+less alike by weight than as sets, so a node has the bands of a second sketch too,
+in which each shingle weighs 1 (the same sketch where none repeats). There a
+register agrees with the probability of the Jaccard similarity itself: with
+``BANDS`` bands of ``ROWS`` registers a pair at 0.8 shares no band with probability
+(1 - 0.8^4)^24 = 3e-6, however the two repeat their shingles.
+
+A band's nodes are not paired with each other. First each is verified against one
+node of its band, the least; components of the links are classes. A band whose nodes
+are all of one class by then needs nothing more. The nodes of the other bands are
+compared across classes, exactly: in the order of frequency among these nodes, rarest
+first, two sets at the threshold share a shingle of their first ones (prefix), early
+enough for the rest to reach the overlap that they need (position). A shingle of very
+many nodes is dealt out to several tasks. So no link between different classes is
+lost, no bucket is capped, and within a class no pairs are made.
+
+Shingles are 64-bit hashes.
 
 Nulls: a null text is empty; texts without words are equal to each other. In a
 text of symbols alone the words are taken as written. A null doc_id comes after
 all others. Repeated rows are of one class, and one of them stays. A very long
 text is one sketch like any other. An empty table gives no rows.
+``near_duplicates`` ignores other columns; ``deduplicated`` keeps them all, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -47,16 +48,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remembers, stored
+from .common import Words, attach, remembers, small_batches, stored, whole_row
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
-MEMO = 300_000
 #: Rows sketched at a time; bounds what a Python worker holds.
-SLICE = 1_000
+SLICE = 500
+#: Nodes of a shingle that one task compares with the others of that shingle.
+HOT_NODES = 1_000
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64(0xA5A5A5A5A5A5A5A5)
-_MEMO: dict[str, int] = {}
+_MEMO = Words(32 << 20)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,11 +81,9 @@ def word_codes(text: str) -> np.ndarray:
     chunks = text.lower().split()
     got = list(map(_MEMO.get, chunks))
     if None in got:
-        if len(_MEMO) > MEMO:
-            _MEMO.clear()
-        for i, (c, g) in enumerate(zip(chunks, got)):
-            if g is None:
-                got[i] = _MEMO[c] = _word(c)
+        new = {c: _word(c) for c in {c for c, g in zip(chunks, got) if g is None}}
+        got = [new[c] if g is None else g for c, g in zip(chunks, got)]
+        _MEMO.keep(new)
     codes = np.array(got, np.uint64)
     if chunks and not codes.any():  # no letter or digit: the words as written
         return np.array([_code(c) for c in chunks], np.uint64)
@@ -145,9 +145,9 @@ def _sketched(bands: int, rows: int, width: int):
                     own = np.union1d(own, banded(probminhash(items, np.ones(len(items)), registers)))
                 keys.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
                 band.append(own.view(np.int64))
-                small.append(np.unique((items >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                small.append(items.view(np.int64))
             lists = lambda xs, kind: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), np.concatenate([np.zeros(0, kind), *xs]))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), lists(band, np.int64), lists(small, np.int32)], names=["doc_id", "text_hash", "node", "bands", "shingles"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), lists(band, np.int64), lists(small, np.int64)], names=["doc_id", "text_hash", "node", "bands", "shingles"])
 
     return run
 
@@ -158,12 +158,14 @@ def _overlap(n: Column, m: Column, threshold: float) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) with whether they are linked, stored."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
+    """Pairs (a, b) with whether they are linked, stored. A node of very many pairs is dealt out to several tasks."""
+    pairs = stored(pairs, "near-candidates")
+    with_sets = lambda side, other, name: sets.select(F.col("node").alias(side), F.col("shingles").alias(name)).join(pairs.groupBy(side).agg(F.count("*").alias("_pairs")), side)
+    left = attach(pairs, stored(with_sets("a", "b", "_x"), "near-left"), "a", "_pairs", F.col("b")).drop("_pairs")
+    both = attach(left, stored(with_sets("b", "a", "_y"), "near-right"), "b", "_pairs", F.col("a"))
     same = F.size(F.array_intersect("_x", "_y"))
     linked = same >= threshold * (F.size("_x") + F.size("_y") - same) - 1e-9
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked")), "near-pairs")
+    return stored(both.select("a", "b", linked.alias("linked")), "near-pairs")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,30 +203,47 @@ def _entries(sets: DataFrame, threshold: float) -> DataFrame:
     return stored(early.select("token", "node", "n", "rest"), "near-entries")
 
 
+def _banded(sketches: DataFrame, words: DataFrame) -> DataFrame:
+    """(band, node, n, centre, m): nodes that share a band with another, the band's least node, and the sizes of both; stored."""
+    own = sketches.select(F.col("row").alias("node"), F.size("shingles").alias("n"), "bands").join(words.select("node"), "node", "left_semi")
+    placed = own.select("node", "n", F.explode("bands").alias("band"))
+    several = stored(placed.groupBy("band").agg(F.count("*").alias("_nodes"), F.min(F.struct("node", "n")).alias("_c")).where("_nodes > 1"), "near-buckets")
+    centred = several.select("band", "_nodes", F.col("_c.node").alias("centre"), F.col("_c.n").alias("m"))
+    return stored(attach(placed, centred, "band", "_nodes", F.col("node")).drop("_nodes"), "near-banded")
+
+
+def _across(open_sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes that the prefix and position filters leave."""
+    entries = _entries(open_sets, threshold)
+    known = stored(entries.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "near-known")
+    # Rows outside their token's largest class meet all others of the token.
+    sizes = known.groupBy("token", "class").agg(F.count("*").alias("_k")).groupBy("token").agg(F.max(F.struct("_k", "class"))["class"].alias("_main"), F.count("*").alias("_classes"), F.sum("_k").alias("_nodes"))
+    sizes = stored(sizes.where("_classes > 1").select("token", "_main", "_nodes"), "near-tokens")
+    split = stored(attach(known, sizes, "token", "_nodes", F.col("node")), "near-split")
+    # A token of many nodes is several joins: one side is dealt out, the other repeated for each.
+    parts = F.ceil(F.col("_nodes") / HOT_NODES).cast("int")
+    one = split.select("token", F.pmod(F.xxhash64("node"), parts).cast("int").alias("_part"), "node", "n", "rest", "class")
+    lesser = split.where("class <> _main").select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("rest").alias("_rest"), F.col("class").alias("_class"))
+    reach = F.least("rest", "_rest") >= _overlap(F.col("n"), F.col("_n"), threshold)
+    return one.join(lesser, ["token", "_part"]).where((F.col("class") != F.col("_class")) & reach).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+
+
 def find_links(sketches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compared pairs (a, b, linked), classes (node, class) and words (words, node).
 
     A node is the number of the first row that has its words.
     """
     words = stored(sketches.groupBy(F.col("node").alias("words")).agg(F.min("row").alias("node")), "near-words")
-    own = sketches.select(F.col("row").alias("node"), "bands").join(words, "node", "left_semi")
-    placed = own.select("node", F.explode("bands").alias("band"))
-    several = placed.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
-    going = placed.join(several, "band", "left_semi").select("node").distinct()
-    sets = stored(sketches.select(F.col("row").alias("node"), "shingles").join(going, "node", "left_semi"), "near-sets")
-    entries = _entries(sets, threshold)
-    centres = entries.groupBy("token").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("s"), "node", "n", "rest")).alias("_c")).select("token", F.col("_c.node").alias("_node"), F.col("_c.n").alias("_n"), F.col("_c.rest").alias("_rest"))
-    reach = F.least("rest", "_rest") >= _overlap(F.col("n"), F.col("_n"), threshold)
-    pair = [F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")]
-    star = entries.join(centres, "token").where((F.col("node") != F.col("_node")) & reach).select(*pair).distinct()
-    pairs = _verified(star, sets, threshold)
+    banded = _banded(sketches, words)
+    sets = stored(sketches.select(F.col("row").alias("node"), "shingles").join(banded.select("node").distinct(), "node", "left_semi"), "near-sets")
+    star = banded.where((F.col("node") != F.col("centre")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9))
+    pairs = _verified(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), sets, threshold)
     classes = components(pairs.where("linked"))
-    # What the filters leave between different classes: rows outside their token's largest class, with all others.
-    known = stored(entries.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "near-known")
-    sizes = known.groupBy("token", "class").agg(F.count("*").alias("_k")).groupBy("token").agg(F.max(F.struct("_k", "class"))["class"].alias("_main"), F.count("*").alias("_classes")).where("_classes > 1")
-    split = known.join(sizes.select("token", "_main"), "token")
-    lesser = split.where("class <> _main").select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("rest").alias("_rest"), F.col("class").alias("_class"))
-    across = split.drop("_main").join(lesser, "token").where((F.col("class") != F.col("_class")) & reach).select(*pair).distinct()
+    # Bands that still hold several classes: their nodes are compared across these.
+    known = stored(banded.select("band", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "near-known-bands")
+    mixed = known.groupBy("band").agg(F.min("class").alias("_low"), F.max("class").alias("_high"), F.count("*").alias("_nodes")).where("_low < _high")
+    unsettled = attach(known.select("band", "node"), stored(mixed.select("band", "_nodes"), "near-mixed"), "band", "_nodes", F.col("node")).select("node").distinct()
+    across = _across(stored(sets.join(unsettled, "node", "left_semi"), "near-open"), classes, threshold)
     more = _verified(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold)
     pairs = pairs.unionByName(more)
     if more.where("linked").limit(1).count():
@@ -234,8 +253,9 @@ def find_links(sketches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """A stored row for each document: row, doc_id, text_hash, node, bands, shingles."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    made = own.mapInArrow(_sketched(bands, rows, width), "doc_id long, text_hash long, node binary, bands array<long>, shingles array<int>")
+    made = own.mapInArrow(_sketched(bands, rows, width), "doc_id long, text_hash long, node binary, bands array<long>, shingles array<long>")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
 
 
@@ -250,16 +270,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     linked = pairs.where("linked")
     links = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     known = words.join(classes.join(links, "node", "left"), "node", "left").select(F.col("words").alias("node"), F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    members = stored(sketches.select("row", "doc_id", "text_hash", "node").join(known, "node").drop("node"), "near-members")
-    first = members.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r"))).alias("_w"), F.count("*").alias("class_size"))
-    return members.join(first, "class").select("doc_id", F.col("_w.d").alias("class_id"), "class_size", "links", (F.col("row") == F.col("_w.r")).alias("kept"), "text_hash")
+    # Copies are many rows of one node: what is known of a node goes to its rows in parts.
+    copies = sketches.groupBy("node").agg(F.count("*").alias("_copies"))
+    known = stored(known.join(copies, "node"), "near-nodes")
+    members = stored(attach(sketches.select("row", "doc_id", "text_hash", "node"), known, "node", "_copies", F.col("row")).drop("node", "_copies"), "near-members")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
+    first = stored(members.groupBy("class").agg(least.alias("_w"), F.count("*").alias("class_size")), "near-first")
+    whole = attach(members, first, "class", "class_size", F.col("row"))
+    return whole.select("doc_id", F.col("_w.d").alias("class_id"), "class_size", "links", (F.col("row") == F.col("_w.r")).alias("kept"), "text_hash")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
-    columns = docs.columns
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_hash").alias("_kh")).distinct()
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    judged = stored(near_duplicates(docs).select("doc_id", "text_hash", "kept"), "near-judged")
+    kept = judged.where("kept").select(F.col("doc_id").alias("_kid"), F.col("text_hash").alias("_kh"))
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     met = rows.join(kept, (F.col("_hash") == F.col("_kh")) & F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("_hash", "_id").orderBy("_hash"))
-    return met.withColumn("_one", one).where("_one = 1").select("_row.*")
+    repeated = judged.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept and n > 1")
+    if repeated.limit(1).count():  # rows of one id and text: only one of them stays
+        number = F.row_number().over(Window.partitionBy("_hash", "_id").orderBy("_hash"))
+        met = met.withColumn("_one", number).where("_one = 1")
+    return met.select("_row.*")
