@@ -15,9 +15,14 @@ is left, which lands by one systematic draw; a few changes of place in that grou
 then bring the words back to the target. Draws are seeded by source, group
 and round, so reruns agree.
 
-Nulls: a null source is a source, the last; a null text has no words. Repeated
-rows are decided each. With no words at all every target is 0 and nothing is
-taken. An empty table gives no rows.
+Rows of one doc_id, source and text are counted before they move and dealt out
+again by number, so that a row that repeats very often fills many groups.
+
+Nulls: a null source is a source, the last; a null text has no words; a null
+doc_id is a value like another. Repeated rows are decided each. With no words at
+all every target is 0 and nothing is taken. An empty table gives no rows. Of a very
+long text only the number of words moves. ``mix`` ignores other columns;
+``mixed_documents`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_row
 
 BLOCK, SEED, CAP = 2_000, 20_240, 3.0
+#: Repeats of one row that are dealt out by one task.
+REPEATS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
 
@@ -132,7 +139,7 @@ def _seed(source, group: int, turn: int) -> np.random.Generator:
 
 def _round(turn: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "_h", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "_h", "doc_id", "_k"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         source = pdf["source"].iloc[0]
         rng = _seed(None if pd.isna(source) else source, int(pdf["_g"].iloc[0]), turn)
         p = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), rng)
@@ -145,10 +152,25 @@ def _round(turn: int, last: bool):
     return run
 
 
+def _key(docs: DataFrame) -> list[Column]:
+    # as text: an id that may be null would turn to floating point in pandas
+    return [F.col("doc_id").cast("string").alias("doc_id"), F.col("source"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_h")]
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    """A stored row for each document: doc_id, source, size, _h, _k (its number among ``_same`` rows alike)."""
+    counted = stored(docs.select(*_key(docs), n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "_h", "size").agg(F.count("*").alias("_same")), "mix-counted")
+    several = (counted.agg(F.max("_same")).first()[0] or 1) > REPEATS
+    runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_same") - 1) / REPEATS))))
+    runs = runs.repartition("_h", "_run") if several else runs
+    upto = F.least(F.col("_same"), (F.col("_run") + 1) * REPEATS) - 1
+    return runs.withColumn("_k", F.explode(F.sequence(F.col("_run") * REPEATS, upto))).drop("_run")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies and ``_h`` (a hash of the text) for every row."""
+    """doc_id, source, size, source_size, target, taken, copies for every row, ``_h`` (a hash of id and text), and which ``_k`` of ``_same`` rows alike it is."""
     kind = docs.schema["doc_id"].dataType
-    units = stored(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_h")), "mix-units")  # an id that may be null would turn to floating point in pandas
+    units = _units(docs)
     plan = targets(units, weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
@@ -158,7 +180,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP,
         .withColumn("base", F.floor(F.col("_ratio") + _EPS).cast("long"))
         .withColumn("p", F.greatest(F.col("_ratio") - F.col("base"), F.lit(0.0)))
         .withColumn("_blocks", F.ceil(F.col("source_docs") / block).cast("long"))
-        .withColumn("_g", F.pmod("_h", F.col("_blocks")))
+        .withColumn("_g", F.pmod(F.xxhash64("_h", "_k"), F.col("_blocks")))
         .drop("_ratio", "source_docs")
     )
     schema = rows.schema
@@ -181,14 +203,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP,
     for more in done[1:]:
         out = out.unionByName(more)
     copies = F.col("base") + F.round("p").cast("long")
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "_h")
+    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "_h", "_k", "_same")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them: each row as often as it is taken."""
-    key = Window.partitionBy("_hash", "_id", "_src")
-    taken = mix(docs).select(F.col("_h").alias("_hash"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "copies").withColumn("_n", F.row_number().over(key.orderBy("copies")))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_hash"), F.col("doc_id").alias("_id"), F.col("source").alias("_src")).withColumn("_n", F.row_number().over(key.orderBy("_hash")))
-    same = (rows["_hash"] == taken["_hash"]) & (rows["_n"] == taken["_n"]) & rows["_id"].eqNullSafe(taken["_id"]) & rows["_src"].eqNullSafe(taken["_src"])
-    got = rows.join(taken.where("copies > 0"), same)
+    """The documents as the mix takes them: each row as often as it is taken.
+
+    Texts move once, to what is known of their id, source and hash. Rows alike in
+    these may differ elsewhere; they are numbered, in parts of a key, by their places.
+    """
+    taken = stored(mix(docs).select(F.col("_h").alias("_hash"), F.col("doc_id").cast("string").alias("_id"), F.col("source").alias("_src"), "copies", "_k", "_same"), "mix-taken")
+    key = [k.alias(n) for k, n in zip(_key(docs), ("_id", "_src", "_hash"))]
+    same = lambda a, b: (a["_hash"] == b["_hash"]) & a["_id"].eqNullSafe(b["_id"]) & a["_src"].eqNullSafe(b["_src"])
+    rows = docs.select(whole_row(docs), *key)
+    lone = taken.where("_same = 1 and copies > 0")
+    got = rows.join(lone, same(rows, lone)).select("_row", "copies")
+    if taken.where("_same > 1").limit(1).count():
+        numbered = docs.select(whole_row(docs), *key, F.monotonically_increasing_id().alias("_number")).withColumn("_part", F.pmod(F.xxhash64("_number"), F.lit(64)))
+        repeated = taken.where("_same > 1 and _k = 0")
+        several = stored(numbered.join(repeated.select("_hash", "_id", "_src"), same(numbered, repeated), "left_semi"), "mix-repeated")
+        names = ["_hash", "_id", "_src"]
+        parts = several.groupBy(*names, "_part").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = parts.select(*names, F.col("_part").alias("_p"), before.alias("_before"))
+        placed = several.withColumn("_at", F.row_number().over(Window.partitionBy(*names, "_part").orderBy("_number")) - 1)
+        placed = placed.join(starts, same(placed, starts) & (placed["_part"] == starts["_p"])).select("_row", *[placed[n] for n in names], (F.col("_at") + F.col("_before")).alias("_place"))
+        which = taken.where("_same > 1 and copies > 0")
+        got = got.unionByName(placed.join(which, same(placed, which) & (placed["_place"] == which["_k"])).select("_row", "copies"))
     return got.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

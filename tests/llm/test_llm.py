@@ -64,7 +64,8 @@ def expected_ids(path, rows, end):
 
 
 def test_packing_covers_every_id_once(awkward, path):
-    out = packing.pack_documents(awkward, path, block_ids=5_000).collect()
+    out = packing.pack_documents(awkward, path, block_ids=5_000, fan=2).collect()
+    assert all(r.program_optimal for r in out)
     want = Counter((i, zlib.crc32(raw)) for i, raw in expected_ids(path, awkward_rows(), 2))
     by_sequence, total = defaultdict(list), 0
     for r in out:
@@ -76,7 +77,9 @@ def test_packing_covers_every_id_once(awkward, path):
         for offset, n in sorted(parts):
             assert offset == at
             at += n
-        assert at <= 4096 and (at == 4096 or at & (at - 1) == 0)
+        assert at <= 4096
+    # only one sequence of all tasks and blocks isn't full, so there are as few as can be
+    assert len(by_sequence) == -(-total // 4096) and sum(sum(n for _, n in parts) < 4096 for parts in by_sequence.values()) <= 1
     whole = {(r.doc_id, r.ids_crc32) for r in out if r.length == r.doc_tokens}
     assert whole <= set(want)
     pieces = defaultdict(list)
@@ -95,19 +98,58 @@ def test_pack_random_lengths():
     for seed in range(12):
         lengths = np.random.default_rng(seed).integers(1, [300, 4096, 9000][seed % 3], 1 + seed * 40)
         done, seq = defaultdict(int), defaultdict(int)
-        for d, start, n, q, _ in sorted(packing.pack(lengths)):
+        pieces, _ = packing.pack(lengths)
+        for d, start, n, q, _ in sorted(pieces):
             assert start == done[d]
             done[d] += n
             seq[q] += n
         assert [done[i] for i in range(len(lengths))] == lengths.tolist()
-        assert all(x == 4096 or x & (x - 1) == 0 for x in seq.values())
+        assert all(x == 4096 for q, x in seq.items() if q >= 0) and seq.get(-1, 0) < 4096
+
+
+def test_patterns_need_no_more_sequences_than_the_optimum():
+    """Against the true optimum of small instances, by trying all ways; cutting is left out."""
+
+    def fewest(items, room):
+        best = [len(items)]
+
+        def place(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(bins)
+                return
+            for k in {b: k for k, b in enumerate(bins)}.values():
+                if bins[k] >= items[i]:
+                    place(i + 1, [b - items[i] if j == k else b for j, b in enumerate(bins)])
+            place(i + 1, [*bins, room - items[i]])
+
+        place(0, [])
+        return best[0]
+
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        lengths = np.sort(rng.integers(3, 17, rng.integers(4, 11)))[::-1]
+        bins, optimal = packing.fill_patterns(lengths, 20, 1)
+        assert optimal and sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert max(lengths[b].sum() for b in bins) <= 20
+        assert len(bins) <= fewest(lengths.tolist(), 20) + 1
+
+
+def test_pivots_that_run_out_are_told():
+    lengths = np.random.default_rng(1).integers(1, 4096, 4000)
+    assert packing.pack(lengths, rounds=1)[1] is False and packing.pack(lengths)[1] is True
+
+
+def test_packing_of_an_empty_table(nothing, path):
+    assert packing.pack_documents(nothing, path).collect() == []
 
 
 def test_column_generation_reaches_the_bound():
     sizes, demand = np.array([32, 31, 22, 11]), np.array([10.0, 10.0, 20.0, 40.0])
-    basis, amount = packing.column_generation(sizes, demand, 64)
+    basis, amount, optimal = packing.column_generation(sizes, demand, 64)
     assert np.allclose(basis @ amount, demand) and ((sizes @ basis) <= 64).all()
-    assert amount.sum() <= (sizes @ demand) / 64 * 1.1
+    assert optimal and amount.sum() <= (sizes @ demand) / 64 * 1.1
 
 
 def test_best_pattern_is_best():
