@@ -24,14 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, remembers
-from .toxicity import _logistic
+from .common import Words, held_out, labelled_sample, logistic, remembers, small_batches, whole_row
 
 BITS = 18
 #: Labelled texts of each class that a model is fitted on at most.
 PER_CLASS = 3_000
 THRESHOLD = 0.3
-MEMO = 300_000
 _DIGIT, _RUN = re.compile(r"\d+"), re.compile(r"(.)\1{2,}")
 
 
@@ -47,7 +45,7 @@ def _hash(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
 
-_MEMO: dict[str, int] = {}
+_MEMO = Words(32 << 20)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -55,11 +53,9 @@ def _codes(text: str) -> np.ndarray:
     chunks = text.split()
     got = list(map(_MEMO.get, chunks))
     if None in got:
-        if len(_MEMO) > MEMO:
-            _MEMO.clear()
-        for i, (c, g) in enumerate(zip(chunks, got)):
-            if g is None:
-                got[i] = _MEMO[c] = _hash(c.lower()) << 32 | _hash(shape(c))
+        new = {c: _hash(c.lower()) << 32 | _hash(shape(c)) for c in {c for c, g in zip(chunks, got) if g is None}}
+        got = [new[c] if g is None else g for c, g in zip(chunks, got)]
+        _MEMO.keep(new)
     return np.array(got, np.uint64)
 
 
@@ -141,13 +137,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         if len(set(y[train].tolist())) == 2:
             w = _fitted([rows[i] for i in train], y[train])
             margins[test] = [w[rows[i]].sum() / np.sqrt(len(rows[i]) + 1.0) for i in test]
-    a, b = _logistic(margins[:, None], (y > 0).astype(float))
+    a, b = logistic(margins[:, None], (y > 0).astype(float))
     return Model(_fitted(rows, y).astype(np.float32), (float(a), float(b)))
 
 
 def score(texts: Column, model: Model, spark: SparkSession) -> Column:
     """The score of a column of texts."""
     shared = spark.sparkContext.broadcast(model)
+    small_batches(spark)
 
     def run(batch: pd.Series) -> pd.Series:
         return pd.Series([shared.value.score(t or "") for t in batch], dtype=float)
@@ -164,5 +161,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, pe
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = PER_CLASS) -> DataFrame:
     """The rows that the classifier accepts, with all their columns."""
     model = fit(docs, labels, per_class)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), score(F.col("text"), model, docs.sparkSession).alias("_score"))
+    rows = docs.select(whole_row(docs), score(F.col("text"), model, docs.sparkSession).alias("_score"))
     return rows.where(F.col("_score") >= threshold).select("_row.*")

@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-from .common import remembers
+from .common import Words, remembers
 
 # The classes that the pre-tokenizer's pattern names, within Latin-1 and after lower-casing.
 _LETTER = "a-zªµºß-öø-ÿ"
@@ -18,8 +18,6 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPA
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
-#: Words that one Python worker remembers before its memory is emptied and filled anew.
-MEMO = 1_200_000
 _LOWER = bytes(ord(chr(i).lower()) for i in range(256))
 
 
@@ -73,30 +71,27 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.memo: dict[bytes, bytes] = {}  # by word between white space
-        self.pieces: dict[str, bytes] = {}
+        self.memo = Words()  # ids by lower-cased word between white space, and by piece
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Puts pieces into the memory; many go to the library as one text."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of pieces; many go to the library as one text."""
+        found: dict[str, bytes] = {}
         groups = [words[at : at + 256] for at in range(0, len(words), 256)]
         for some, got in zip(groups, self.model.encode_batch_fast([" ".join(g).translate(_BYTES) for g in groups], add_special_tokens=False)):
             ids = np.array(got.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
                 raw, to = ids.tobytes(), (cuts * 4).tolist()
-                self.pieces.update(zip(some, map(raw.__getitem__, map(slice, [0, *to], to))))
+                found.update(zip(some, map(raw.__getitem__, map(slice, [0, *to], to))))
             else:
-                self.pieces.update((w, self.whole(w)) for w in some)
-
-    def forget(self) -> None:
-        self.memo.clear()
-        self.pieces.clear()
+                found.update((w, self.whole(w)) for w in some)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        remembers(f"tokens {id(self)}", self.forget)
+        remembers(f"tokens {id(self)}", self.memo.clear)
         out: list[bytes] = [b""] * len(texts)
         split: list[tuple[int, list[bytes]]] = []
         for i, text in enumerate(texts):
@@ -108,17 +103,17 @@ class Encoder:
                 out[i] = self.whole(text)
             else:
                 split.append((i, raw.split()))  # at ASCII white space; the rest is for the pattern
-        if len(self.memo) > MEMO:
-            self.forget()
-        memo, known, get = self.memo, self.pieces, self.memo.get
+        memo, get = self.memo, self.memo.get
         found = [(i, ws, list(map(get, ws))) for i, ws in split]
         lacking = [x for x in found if None in x[2]]
-        new = {w for _, ws, vs in lacking for w, v in zip(ws, vs) if v is None}
-        pieces = {w: _split(w) for w in new}
-        self.learn(list({p for ps in pieces.values() for p in ps if p not in known}))
-        memo.update((w, known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps))) for w, ps in pieces.items())
+        new = {w: _split(w) for w in {w for _, ws, vs in lacking for w, v in zip(ws, vs) if v is None}}
+        piece = {p: memo.get(p.encode("latin-1")) for ps in new.values() for p in ps}
+        piece.update(self.learn([p for p, v in piece.items() if v is None]))
+        fresh = {p.encode("latin-1"): v for p, v in piece.items()}
+        fresh.update((w, b"".join(map(piece.__getitem__, ps))) for w, ps in new.items() if len(ps) != 1 or len(ps[0]) != len(w))
         for i, ws, vs in found:
-            out[i] = b"".join([memo[w] if v is None else v for w, v in zip(ws, vs)] if None in vs else vs)
+            out[i] = b"".join([fresh[w] if v is None else v for w, v in zip(ws, vs)] if None in vs else vs)
+        memo.keep(fresh)
         return out
 
 
@@ -129,7 +124,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def chunks(texts: list, most: int = 2_000_000):
+def chunks(texts: list, most: int = 1_000_000):
     """Ranges of a batch that hold about ``most`` characters at a time."""
     start = size = 0
     for i, t in enumerate(texts):

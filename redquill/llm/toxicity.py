@@ -16,7 +16,7 @@ curve over the best S' and the sum over significant segments, fitted on the
 sample, gives the score.
 
 Nulls and empty texts: no words, no segment; they score as a text in which
-nothing was found. Very long texts are scanned whole, in linear time. Repeated
+nothing was found. Extra columns, whatever their names, are ignored. Very long texts are scanned whole, in linear time. Repeated
 rows score alike. With no labels of one class every text scores 0. An empty
 table gives no rows.
 """
@@ -33,17 +33,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import Words, held_out, labelled_sample, logistic, small_batches
 
 #: Labelled texts of each class that a model is fitted on at most.
 PER_CLASS = 6_000
-#: Features that a model keeps at most, those of the greatest z-value.
-FEATURES = 50_000
+#: Features that a model keeps at most, those of the greatest z-value; None: all that are significant.
+FEATURES: int | None = 50_000
 LEAST_Z, SURE, LEAST_DOCS, DRIFT, PRIOR = 2.5, 1.64, 3, 0.05, 50.0
 #: A segment is significant if fewer than 0.05 as good are expected in a clean text.
 SIGNIFICANT = float(-np.log(0.05))
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
-MEMO = 500_000
 
 
 def features(word: str) -> list[str]:
@@ -61,10 +60,10 @@ class Model:
     lam: float = 0.0
     log_k: float = 0.0
     curve: tuple[float, float, float] = (-20.0, 0.0, 0.0)
-    memo: dict[str, float] = field(default_factory=dict, repr=False)
+    memo: Words = field(default_factory=Words, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": Words()}
 
     def word_score(self, chunk: str) -> float:
         word = _TRIM.sub("", chunk)
@@ -76,11 +75,9 @@ class Model:
         chunks = text.lower().split()
         got = list(map(self.memo.get, chunks))
         if None in got:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            for i, (c, g) in enumerate(zip(chunks, got)):
-                if g is None:
-                    got[i] = self.memo[c] = self.word_score(c)
+            new = {c: self.word_score(c) for c in {c for c, g in zip(chunks, got) if g is None}}
+            got = [new[c] if g is None else g for c, g in zip(chunks, got)]
+            self.memo.keep(new)
         return np.array(got, float)
 
     def normalised(self, best: float, n: int) -> float:
@@ -132,18 +129,6 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"f": names, "clean": [counts[0][f] for f in names], "toxic": [counts[1][f] for f in names]})
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def scale(value: np.ndarray, count: np.ndarray) -> float:
     """lambda of clean words' scores: the positive root of E[exp(lambda s)] = 1."""
     share = count / count.sum()
@@ -159,7 +144,7 @@ def scale(value: np.ndarray, count: np.ndarray) -> float:
     return float(low)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_features: int | None = FEATURES) -> Model:
     """A model from a bounded sample of the rows that are not held out."""
     sample = labelled_sample(docs, labels, "toxic", per_class).groupBy("text").agg(F.max("y").alias("y")).persist()
     try:
@@ -172,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         odds = lambda k, n: F.log((k + prior) / F.greatest(n + 2 * PRIOR - k - prior, F.lit(0.5)))
         delta = odds(F.col("toxic"), n1) - odds(F.col("clean"), n0)
         z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-        kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).select("f", delta.alias("d"), z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "f").limit(FEATURES)
+        kept = counted.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS).select("f", delta.alias("d"), z.alias("z")).where(F.abs("z") >= LEAST_Z)
+        kept = kept if most_features is None else kept.orderBy(F.abs("z").desc(), "f").limit(most_features)
         model = Model({r["f"]: r["d"] * (1 - SURE / abs(r["z"])) for r in kept.collect()})
         spark = docs.sparkSession
         shared = spark.sparkContext.broadcast(model)
@@ -201,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         model.log_k = float(np.median(best[raw["y"] == 0]) + np.log(np.log(2)))
         best = best - model.log_k
         total = np.array([sum(v for v in np.asarray(x) - model.log_k if v > SIGNIFICANT) for x in raw["raw"]])
-        w = _logistic(np.column_stack([np.maximum(best, -10), np.log1p(total)]), raw["y"].to_numpy(float))
+        w = logistic(np.column_stack([np.maximum(best, -10), np.log1p(total)]), raw["y"].to_numpy(float))
         model.curve = (float(w[0]), float(w[1]), float(w[2]))
         return model
     finally:
@@ -211,6 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, number of significant passages and words within them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
@@ -234,6 +221,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", F.explode(found("text")).alias("_p")).select("doc_id", "_p.*")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    scored = score(docs, fit(docs, labels, per_class))
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_features: int | None = FEATURES) -> DataFrame:
+    """doc_id, held_out, score, predicted, passages, passage_words for every row; other columns of the input are ignored."""
+    scored = score(docs, fit(docs, labels, per_class, most_features))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages", "passage_words")
