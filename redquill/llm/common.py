@@ -60,21 +60,21 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*map(named, df.columns)).alias("_row")
 
 
-def attach(rows: DataFrame, one: DataFrame, key: str, n: str, spread: Column, share: int = 2_000, least: int = 1_000) -> DataFrame:
-    """``rows`` with the columns of ``one``, which has a row for each key and in ``n`` how many of ``rows`` there are.
+def attach(rows: DataFrame, one: DataFrame, key: str, counts: DataFrame, n: str, spread: Column, share: int = 2_000, least: int = 1_000) -> DataFrame:
+    """``rows`` with the columns of ``one``, which has a row for each key; ``counts`` says in ``n`` how many of ``rows`` a key has.
 
     A key with more than ``least`` rows and one in ``share`` of all is split by
     ``spread``: its row of ``one`` is repeated for each part, so no task takes all
     of a hot key. There are fewer than ``share`` such keys; only they are broadcast.
     """
-    seen = one.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+    seen = counts.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
     limit = max(least, (seen["all"] or 0) // share)
     if (seen["most"] or 0) <= limit:
         return rows.join(one, key)
-    parts = F.when(F.col(n) > limit, F.ceil(F.col(n) / limit)).otherwise(1).cast("int")
-    hot = one.where(F.col(n) > limit).select(key, parts.alias("_parts"))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    repeated = one.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    hot = F.broadcast(counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    repeated = one.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return dealt.join(repeated, [key, "_part"]).drop("_part")
 
 

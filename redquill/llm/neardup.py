@@ -17,16 +17,19 @@ register agrees with the probability of the Jaccard similarity itself: with
 ``BANDS`` bands of ``ROWS`` registers a pair at 0.8 shares no band with probability
 (1 - 0.8^4)^24 = 3e-6, however the two repeat their shingles.
 
-A band's nodes are not paired with each other. First each is verified against one
-node of its band, the least; components of the links are classes. A band whose nodes
-are all of one class by then needs nothing more. The nodes of the other bands are
-compared across classes, exactly: in the order of frequency among these nodes, rarest
-first, two sets at the threshold share a shingle of their first ones (prefix), early
-enough for the rest to reach the overlap that they need (position). A shingle of very
-many nodes is dealt out to several tasks. So no link between different classes is
-lost, no bucket is capped, and within a class no pairs are made.
-
-Shingles are 64-bit hashes.
+A band's nodes are not paired with each other. First a node is verified against one
+other, the least that any of its bands holds, then against the least of each band whose
+class isn't its own yet; components of the links are classes. A band whose nodes are all
+of one class by then needs nothing more. The nodes of the other bands are compared
+across classes, exactly: in the order of frequency among these nodes, rarest first, two
+sets at the threshold share a shingle of their first ones (prefix), early enough for the
+rest to reach the overlap that they need (position). Of a shingle's nodes each meets the
+one in which it comes earliest, and then only those of other classes. A shingle of very
+many nodes is dealt out to several tasks. So no link between different classes is lost,
+no bucket is capped, and within a class no pairs are made.
+
+Shingles are 64-bit hashes. They are made once for the sketch, which keeps none of them,
+and again for the nodes that share a band, so that they are written for these alone.
 
 Nulls: a null text is empty; texts without words are equal to each other. In a
 text of symbols alone the words are taken as written. A null doc_id comes after
@@ -123,6 +126,30 @@ def probminhash(items: np.ndarray, weight: np.ndarray, registers: int) -> np.nda
     return who
 
 
+def _node(codes: np.ndarray) -> bytes:
+    return hashlib.blake2b(codes.tobytes(), digest_size=16).digest()
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *arrays]))
+
+
+def _shingled(width: int):
+    """(node, shingles) from (text, words, node); rows whose words are others' are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            nodes, found = [], []
+            for text, words, node in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                codes = word_codes(text or "")
+                if _node(codes) == words:
+                    nodes.append(node)
+                    found.append(shingles(codes, width)[0].view(np.int64))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), _lists(found)], names=["node", "shingles"])
+
+    return run
+
+
 def _sketched(bands: int, rows: int, width: int):
     registers = bands * rows
     lone = np.arange(bands, dtype=np.uint64)
@@ -136,18 +163,17 @@ def _sketched(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = batch.column(1).to_pylist()
-            keys, band, small = [], [], []
+            keys, band, sizes = [], [], []
             for text in texts:
                 codes = word_codes(text or "")
                 items, count = shingles(codes, width)
                 own = banded(probminhash(items, 1 + np.log(np.maximum(count, 1)), registers))
                 if (count > 1).any():  # else the second sketch is the first
                     own = np.union1d(own, banded(probminhash(items, np.ones(len(items)), registers)))
-                keys.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest())
+                keys.append(_node(codes))
                 band.append(own.view(np.int64))
-                small.append(items.view(np.int64))
-            lists = lambda xs, kind: pa.ListArray.from_arrays(np.cumsum([0, *map(len, xs)]).astype(np.int32), np.concatenate([np.zeros(0, kind), *xs]))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), lists(band, np.int64), lists(small, np.int64)], names=["doc_id", "text_hash", "node", "bands", "shingles"])
+                sizes.append(len(items))
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), _lists(band)], names=["doc_id", "text_hash", "node", "n", "bands"])
 
     return run
 
@@ -160,9 +186,10 @@ def _overlap(n: Column, m: Column, threshold: float) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) with whether they are linked, stored. A node of very many pairs is dealt out to several tasks."""
     pairs = stored(pairs, "near-candidates")
-    with_sets = lambda side, other, name: sets.select(F.col("node").alias(side), F.col("shingles").alias(name)).join(pairs.groupBy(side).agg(F.count("*").alias("_pairs")), side)
-    left = attach(pairs, stored(with_sets("a", "b", "_x"), "near-left"), "a", "_pairs", F.col("b")).drop("_pairs")
-    both = attach(left, stored(with_sets("b", "a", "_y"), "near-right"), "b", "_pairs", F.col("a"))
+    both = pairs
+    for side, other, name in (("a", "b", "_x"), ("b", "a", "_y")):
+        counts = stored(pairs.groupBy(side).agg(F.count("*").alias("_pairs")), "near-counts")
+        both = attach(both, sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side, counts, "_pairs", F.col(other))
     same = F.size(F.array_intersect("_x", "_y"))
     linked = same >= threshold * (F.size("_x") + F.size("_y") - same) - 1e-9
     return stored(both.select("a", "b", linked.alias("linked")), "near-pairs")
@@ -205,57 +232,104 @@ def _entries(sets: DataFrame, threshold: float) -> DataFrame:
 
 def _banded(sketches: DataFrame, words: DataFrame) -> DataFrame:
     """(band, node, n, centre, m): nodes that share a band with another, the band's least node, and the sizes of both; stored."""
-    own = sketches.select(F.col("row").alias("node"), F.size("shingles").alias("n"), "bands").join(words.select("node"), "node", "left_semi")
+    own = sketches.select(F.col("row").alias("node"), "n", "bands").join(words.select("node"), "node", "left_semi")
     placed = own.select("node", "n", F.explode("bands").alias("band"))
     several = stored(placed.groupBy("band").agg(F.count("*").alias("_nodes"), F.min(F.struct("node", "n")).alias("_c")).where("_nodes > 1"), "near-buckets")
-    centred = several.select("band", "_nodes", F.col("_c.node").alias("centre"), F.col("_c.n").alias("m"))
-    return stored(attach(placed, centred, "band", "_nodes", F.col("node")).drop("_nodes"), "near-banded")
+    centred = several.select("band", F.col("_c.node").alias("centre"), F.col("_c.n").alias("m"))
+    return stored(attach(placed, centred, "band", several, "_nodes", F.col("node")), "near-banded")
 
 
-def _across(open_sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different classes that the prefix and position filters leave."""
-    entries = _entries(open_sets, threshold)
-    known = stored(entries.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "near-known")
-    # Rows outside their token's largest class meet all others of the token.
-    sizes = known.groupBy("token", "class").agg(F.count("*").alias("_k")).groupBy("token").agg(F.max(F.struct("_k", "class"))["class"].alias("_main"), F.count("*").alias("_classes"), F.sum("_k").alias("_nodes"))
-    sizes = stored(sizes.where("_classes > 1").select("token", "_main", "_nodes"), "near-tokens")
-    split = stored(attach(known, sizes, "token", "_nodes", F.col("node")), "near-split")
-    # A token of many nodes is several joins: one side is dealt out, the other repeated for each.
-    parts = F.ceil(F.col("_nodes") / HOT_NODES).cast("int")
-    one = split.select("token", F.pmod(F.xxhash64("node"), parts).cast("int").alias("_part"), "node", "n", "rest", "class")
-    lesser = split.where("class <> _main").select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("rest").alias("_rest"), F.col("class").alias("_class"))
-    reach = F.least("rest", "_rest") >= _overlap(F.col("n"), F.col("_n"), threshold)
-    return one.join(lesser, ["token", "_part"]).where((F.col("class") != F.col("_class")) & reach).select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+def _sets(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of some nodes, stored."""
+    asked = stored(sketches.select(F.col("row").alias("node"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("node").alias("words")).join(nodes, "node", "left_semi"), "near-asked")
+    texts = _texts(docs)
+    found = texts.join(asked, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    made = found.select("text", "words", "node").mapInArrow(_shingled(width), "node long, shingles array<long>")
+    repeated = sketches.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
+    return stored(made.dropDuplicates(["node"]) if repeated else made, "near-sets")
+
+
+def _merged(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Classes (node, class) after the linked pairs join some of them, stored; a class is its least node."""
+    known = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"_{side}"))
+    links = pairs.where("linked").join(known("a"), "a").join(known("b"), "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    joined = components(links)
+    sizes = stored(classes.groupBy("class").agg(F.count("*").alias("_k")), "near-sizes")
+    renamed = stored(sizes.join(joined.select(F.col("node").alias("class"), F.col("class").alias("_new")), "class", "left").select("class", F.coalesce("_new", "class").alias("_new")), "near-renamed")
+    return stored(attach(classes, renamed, "class", sizes, "_k", F.col("node")).select("node", F.col("_new").alias("class")), "near-classes")
+
 
+def _filtered(open_sets: DataFrame, classes: DataFrame, threshold: float):
+    """Two rounds of pairs (a, b) of different classes: to a token's centre, then what the filters leave across classes.
 
-def find_links(sketches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    The second is a function of the classes that the first leads to.
+    """
+    entries = _entries(open_sets, threshold)
+    centres = entries.groupBy("token").agg(F.max(F.struct((F.col("rest") / F.col("n")).alias("s"), "node", "n", "rest")).alias("_c"), F.count("*").alias("_nodes"))
+    centres = stored(centres.where("_nodes > 1").select("token", F.col("_c.node").alias("_node"), F.col("_c.n").alias("_n"), F.col("_c.rest").alias("_rest"), "_nodes"), "near-centres")
+    reach = F.least("rest", "_rest") >= _overlap(F.col("n"), F.col("_n"), threshold)
+    pair = [F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")]
+    met = attach(entries, centres.drop("_nodes"), "token", centres, "_nodes", F.col("node")).where((F.col("node") != F.col("_node")) & reach).select(*pair).distinct()
+    known = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"_{side}"))
+    star = met.join(known("a"), "a").join(known("b"), "b").where("_a <> _b").select("a", "b")
+
+    def across(classes: DataFrame) -> DataFrame:
+        known = stored(entries.join(classes, "node"), "near-known")
+        # Rows outside their token's largest class meet all others of the token.
+        sizes = known.groupBy("token", "class").agg(F.count("*").alias("_k")).groupBy("token").agg(F.max(F.struct("_k", "class"))["class"].alias("_main"), F.count("*").alias("_classes"), F.sum("_k").alias("_nodes"))
+        sizes = stored(sizes.where("_classes > 1").select("token", "_main", "_nodes"), "near-tokens")
+        split = stored(attach(known, sizes, "token", sizes, "_nodes", F.col("node")), "near-split")
+        # A token of many nodes is several joins: one side is dealt out, the other repeated for each.
+        parts = F.ceil(F.col("_nodes") / HOT_NODES).cast("int")
+        one = split.select("token", F.pmod(F.xxhash64("node"), parts).cast("int").alias("_part"), "node", "n", "rest", "class")
+        lesser = split.where("class <> _main").select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("rest").alias("_rest"), F.col("class").alias("_class"))
+        return one.join(lesser, ["token", "_part"]).where((F.col("class") != F.col("_class")) & reach).select(*pair).distinct()
+
+    return star, across
+
+
+def find_links(docs: DataFrame, sketches: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compared pairs (a, b, linked), classes (node, class) and words (words, node).
 
     A node is the number of the first row that has its words.
     """
     words = stored(sketches.groupBy(F.col("node").alias("words")).agg(F.min("row").alias("node")), "near-words")
     banded = _banded(sketches, words)
-    sets = stored(sketches.select(F.col("row").alias("node"), "shingles").join(banded.select("node").distinct(), "node", "left_semi"), "near-sets")
-    star = banded.where((F.col("node") != F.col("centre")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9))
-    pairs = _verified(star.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), sets, threshold)
-    classes = components(pairs.where("linked"))
+    nodes = stored(banded.select("node").distinct(), "near-nodes")
+    sets = _sets(docs, sketches, nodes, width)
+    classes = nodes.select("node", F.col("node").alias("class"))
+    near = banded.where((F.col("node") != F.col("centre")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9))
+    first = _verified(near.groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b")), sets, threshold)
+    classes, pairs = _merged(classes, first), first
+
+    def compared(candidates: DataFrame) -> None:
+        nonlocal classes, pairs
+        more = _verified(candidates.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold)
+        classes, pairs = _merged(classes, more), pairs.unionByName(more)
+
+    rest = near.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    known = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"_{side}"))
+    met = stored(rest.groupBy("a").agg(F.count("*").alias("_pairs")), "near-counts")
+    rest = attach(rest.join(known("b"), "b"), known("a"), "a", met, "_pairs", F.col("b")).where("_a <> _b").select("a", "b")
+    compared(rest)
     # Bands that still hold several classes: their nodes are compared across these.
-    known = stored(banded.select("band", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "near-known-bands")
-    mixed = known.groupBy("band").agg(F.min("class").alias("_low"), F.max("class").alias("_high"), F.count("*").alias("_nodes")).where("_low < _high")
-    unsettled = attach(known.select("band", "node"), stored(mixed.select("band", "_nodes"), "near-mixed"), "band", "_nodes", F.col("node")).select("node").distinct()
-    across = _across(stored(sets.join(unsettled, "node", "left_semi"), "near-open"), classes, threshold)
-    more = _verified(across.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sets, threshold)
-    pairs = pairs.unionByName(more)
-    if more.where("linked").limit(1).count():
-        classes = components(pairs.where("linked"))
+    own = stored(banded.select("band", "node").join(classes, "node"), "near-known-bands")
+    mixed = stored(own.groupBy("band").agg(F.min("class").alias("_low"), F.max("class").alias("_high"), F.count("*").alias("_nodes")).where("_low < _high"), "near-mixed")
+    unsettled = attach(own.select("band", "node"), mixed.select("band"), "band", mixed, "_nodes", F.col("node")).select("node").distinct()
+    star, across = _filtered(stored(sets.join(unsettled, "node", "left_semi"), "near-open"), classes, threshold)
+    compared(star)
+    compared(across(classes))
     return pairs, classes, words
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """A stored row for each document: row, doc_id, text_hash, node, bands, shingles."""
+    """A stored row for each document: row, doc_id, text_hash, node, n (shingles), bands."""
     small_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    made = own.mapInArrow(_sketched(bands, rows, width), "doc_id long, text_hash long, node binary, bands array<long>, shingles array<long>")
+    made = _texts(docs).mapInArrow(_sketched(bands, rows, width), "doc_id long, text_hash long, node binary, n int, bands array<long>")
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
 
 
@@ -266,17 +340,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     the verified links of the row's words to other words.
     """
     sketches = sketch(docs, bands, rows, width)
-    pairs, classes, words = find_links(sketches, threshold)
+    pairs, classes, words = find_links(docs, sketches, threshold, width)
     linked = pairs.where("linked")
     links = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     known = words.join(classes.join(links, "node", "left"), "node", "left").select(F.col("words").alias("node"), F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     # Copies are many rows of one node: what is known of a node goes to its rows in parts.
-    copies = sketches.groupBy("node").agg(F.count("*").alias("_copies"))
-    known = stored(known.join(copies, "node"), "near-nodes")
-    members = stored(attach(sketches.select("row", "doc_id", "text_hash", "node"), known, "node", "_copies", F.col("row")).drop("node", "_copies"), "near-members")
+    copies = stored(sketches.groupBy("node").agg(F.count("*").alias("_copies")), "near-copies")
+    members = stored(attach(sketches.select("row", "doc_id", "text_hash", "node"), known, "node", copies, "_copies", F.col("row")).drop("node"), "near-members")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row").alias("r")))
     first = stored(members.groupBy("class").agg(least.alias("_w"), F.count("*").alias("class_size")), "near-first")
-    whole = attach(members, first, "class", "class_size", F.col("row"))
+    whole = attach(members, first, "class", first, "class_size", F.col("row"))
     return whole.select("doc_id", F.col("_w.d").alias("class_id"), "class_size", "links", (F.col("row") == F.col("_w.r")).alias("kept"), "text_hash")
 
 
