@@ -14,12 +14,16 @@ distribution itself, so that no logarithm is taken for each word and sample.
 
 The next document is the one with the next lower doc_id (null ids come last,
 rows of one id by hash of the text; after the last comes the first). Neighbours
-meet in buckets of consecutive ids; the first row of the next bucket comes from
-a list with one row for each bucket.
+meet in buckets of consecutive rows; the first row of the next bucket comes from
+a list with one row for each bucket. The range partitioner's sampled splitters cut
+the rows, by id and hash, into fine ranges; a bucket is as many of them as make
+``BUCKET_ROWS`` rows or ``BUCKET_BYTES`` of text, so neither the spread of the ids nor
+where the long texts lie matters. Only rows of one id and one text stay together.
 
 Nulls and empty texts: a text without words has the fingerprint of zeros; two of
 these are alike (1), and such a one is unlike any other (0). Very long texts are
-read whole. An empty table gives no rows; a lone row is its own next.
+read whole. An empty table gives no rows; a lone row is its own next. Ids may be
+any long. Other columns of the input, whatever their names, are ignored.
 DataFrame functions only.
 """
 
@@ -31,8 +35,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES, BLOCK, BITS, LEVELS = 64, 8, 16, 2_048
-#: Rows that a bucket of consecutive ids is meant to have; buckets at most (their list of first rows is broadcast).
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 50_000
+#: Rows and bytes of text that a bucket is meant to have, and fine ranges that a bucket's rows are cut into.
+BUCKET_ROWS, BUCKET_BYTES, FINE = 2_000, 8 << 20, 4
+#: Fine ranges at most: their list goes to the driver and to each task. Beyond it ranges and buckets grow with the rows.
+MOST_RANGES = 200_000
+BLANKS = " \t\n\x0b\x0c\r"
 SEPARATOR = r"[\x20\x09-\x0D]+"
 
 
@@ -52,7 +59,8 @@ def gamma_quantiles(levels: int = LEVELS) -> list[float]:
 def _minima() -> list[Column]:
     """The least ln(a) over a group's words, for each sample of a block."""
     gamma = gamma_quantiles()
-    r_table, c_table = F.lit([float(x) for x in gamma]), F.lit([math.log(x) for x in gamma])
+    # Tables as one text each, which the optimiser turns into one literal; a literal array is an expression for each number.
+    r_table, c_table = (F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>") for xs in (gamma, [math.log(x) for x in gamma]))
     out = []
     for i in range(BLOCK):
         h = F.xxhash64(F.col("_word"), F.col("_block") + F.lit(i))
@@ -70,7 +78,7 @@ def signatures(texts: DataFrame, key: list[str], samples: int = SAMPLES) -> Data
     Words are counted within the key's task: if the rows are dealt out by a
     part of the key already, nothing is shuffled.
     """
-    words = texts.select(*key, F.explode(F.split(F.lower("_text"), SEPARATOR)).alias("_word"))
+    words = texts.select(*key, F.explode(F.split(F.btrim(F.lower("_text"), F.lit(BLANKS)), SEPARATOR)).alias("_word"))
     counted = words.groupBy(*key, F.xxhash64("_word").alias("_word"), (F.col("_word") == "").alias("_none")).agg(F.count("*").alias("_n"))
     weighed = counted.select(*key, "_word", "_none", F.when(F.col("_n") == 1, 0.0).otherwise(F.log(F.col("_n"))).alias("_lnw"))
     blocked = weighed.withColumn("_block", F.explode(F.lit(list(range(0, samples, BLOCK)))))
@@ -80,20 +88,56 @@ def signatures(texts: DataFrame, key: list[str], samples: int = SAMPLES) -> Data
     return whole.select(*key, F.when(F.col("_empty"), F.array_repeat(F.lit(0).cast("bigint"), samples)).otherwise(F.col("signature")).alias("signature"), "_empty")
 
 
+def _splitters(keys: DataFrame, bucket_rows: int) -> list[tuple[int | None, int]]:
+    """The first key (doc_id, _h) of each bucket but the first, in order. ``keys`` has doc_id, _h, _size."""
+    n = keys.count()
+    ranges = max(1, min(MOST_RANGES, -(-n * FINE // bucket_rows)))
+    if n <= bucket_rows:
+        return []
+    order = [F.col("doc_id").desc_nulls_last(), F.col("_h")]
+    dealt = keys.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.bitwise_not("doc_id").alias("d"), F.col("_h").alias("h"))  # ~id falls as the id grows, for every long
+    found = dealt.groupBy("_range").agg(F.min(key).alias("k"), F.count("*").alias("rows"), F.sum("_size").alias("size")).orderBy("_range").collect()
+    out, rows, size = [], 0, 0
+    share = max(1, n // (MOST_RANGES // FINE))
+    for r in found:
+        if rows and (rows + r["rows"] > max(bucket_rows, share) or size + r["size"] > BUCKET_BYTES * max(1, share // bucket_rows)):
+            out.append((None if r["k"]["n"] else r["k"]["d"], r["k"]["h"]))
+            rows = size = 0
+        rows, size = rows + r["rows"], size + r["size"]
+    return out
+
+
+def _bucket(splitters: list[tuple[int | None, int]]) -> Column:
+    """How many splitters a row's key reaches, by halving: (is null, ~doc_id, _h) against the list."""
+    if not splitters:
+        return F.lit(0).cast("long")
+    texts = [",".join(str(int(f(x))) for x in splitters) for f in (lambda x: x[0] is None, lambda x: x[0] or 0, lambda x: x[1])]
+    absent, ids, hashes = (F.split(F.lit(t), ",").cast(f"array<{kind}>") for t, kind in zip(texts, ("int", "bigint", "bigint")))
+    own_absent, own_id = F.col("doc_id").isNull().cast("int"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long"))
+
+    def reaches(k: Column) -> Column:
+        a, i, h = F.get(absent, k), F.get(ids, k), F.get(hashes, k)
+        return (own_absent > a) | ((own_absent == a) & ((own_id > i) | ((own_id == i) & (F.col("_h") >= h))))
+
+    steps = [1 << b for b in reversed(range(len(splitters).bit_length()))]
+    place = lambda n, step: F.when(n + step <= len(splitters), F.when(reaches(n + step - 1), n + step).otherwise(n)).otherwise(n)
+    return F.aggregate(F.lit(steps), F.lit(0), place).cast("long")
+
+
 def _bucketed(docs: DataFrame, bucket_rows: int) -> DataFrame:
     """Rows (bucket, doc_id, _h, _text), and as ``_ghost`` in each bucket the row that follows its last."""
-    stats = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, n = stats[0] or 0, stats[1] or 0, stats[2]
-    buckets = max(1, min(MOST_BUCKETS, -(-n // bucket_rows)))
-    stride = -(-(high - low + 1) // buckets)
-    bucket = F.coalesce(F.floor((F.col("doc_id") - low) / stride).cast("long"), F.lit(-1))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(bucket.alias("bucket"), "doc_id", F.xxhash64(text).alias("_h"), text.alias("_text"))
-    first = rows.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("d"), "_h")).alias("_first"))
-    above = F.lag("bucket").over(Window.orderBy(F.col("bucket").desc()))  # one row for each bucket
-    last = F.last("bucket").over(Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = first.select("bucket", F.col("_first.d").alias("_d"), F.col("_first._h").alias("_fh"), F.coalesce(above, last).alias("_to"))
-    follow = rows.join(F.broadcast(heads), "bucket").where((-F.col("doc_id")).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_fh")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
+    splitters = _splitters(rows.select("doc_id", "_h", F.octet_length("_text").cast("long").alias("_size")), bucket_rows)
+    rows = rows.withColumn("bucket", _bucket(splitters)).select("bucket", "doc_id", "_h", "_text")
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.bitwise_not("doc_id").alias("d"), F.col("_h").alias("h"))
+    first = rows.groupBy("bucket").agg(F.min(key).alias("_first"))
+    # The row after a bucket's last is the next bucket's first; after the last bucket comes the first.
+    places = Window.orderBy("bucket")  # one row for each bucket
+    before, last = F.lag("bucket").over(places), F.last("bucket").over(places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = first.select("bucket", "_first", F.coalesce(before, last).alias("_to"))
+    follow = rows.join(F.broadcast(heads), "bucket").where(key == F.col("_first")).dropDuplicates(["bucket"])
     ghosts = follow.select(F.col("_to").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "_h", "_text", F.lit(1).alias("_ghost"))
     return rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts)
 

@@ -476,10 +476,13 @@ def edited(t, nxt):
     return t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
 
 
-@pytest.mark.parametrize("bucket_rows", [7, 2000])
-def test_fingerprints_follow_generalised_jaccard(spark, bucket_rows):
+@pytest.mark.parametrize("bucket_rows, stretch", [(7, 1), (2000, 1), (7, 10**15), (5, -3)])
+def test_fingerprints_follow_generalised_jaccard(spark, bucket_rows, stretch):
     rng = random.Random(4)
+    far = {1: lambda i: i, -3: lambda i: [-(2**63), 2**63 - 1, -(6 * 10**18), 6 * 10**18][i // 3] if i < 12 else i}.get(stretch, lambda i: i * stretch)  # ids of any span
     rows = [(i * 3, words(rng, rng.randrange(20, 200), 600)) for i in range(90)] + [(1000, ""), (1001, "same text"), (1002, "same text")]
+    rows = sorted((far(i), t) for i, t in rows)
+    same = [i for i, t in rows if t == "same text"]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs, bucket_rows=bucket_rows).collect()}
     assert len(got) == len(rows)
@@ -490,7 +493,21 @@ def test_fingerprints_follow_generalised_jaccard(spark, bucket_rows):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         error += [r.near_edited - jaccard(t, e), r.near_next - jaccard(t, nxt)]
     assert abs(np.mean(error)) < 0.03 and np.std(error) < 0.09
-    assert got[1001].fingerprint == got[1002].fingerprint and got[1002].near_next == 1.0 and got[1001].near_next == 0.0
+    assert got[same[0]].fingerprint == got[same[1]].fingerprint and got[same[1]].near_next == 1.0 and got[same[0]].near_next == 0.0
+
+
+def test_fingerprints_ignore_blanks_at_the_ends(spark):
+    docs = spark.createDataFrame([(1, "ab cd ab"), (2, " \t ab cd  ab\n"), (3, "zz")], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    assert got[1].fingerprint == got[2].fingerprint and got[2].near_next == 1.0
+
+
+def test_buckets_follow_rows_and_bytes_not_ids(spark):
+    docs = spark.range(20_000).selectExpr("if(id = 7, 1000000000000000, id) doc_id", "if(id between 3000 and 3019, repeat('x ', 1000000), 'a b') text")
+    sizes = [r["count"] for r in fingerprints._bucketed(docs, 2_000).where("_ghost = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 2_600
+    heavy = fingerprints._bucketed(docs, 2_000).where("_ghost = 0").groupBy("bucket").agg(F.sum(F.length("_text")).alias("s")).agg(F.max("s")).first()[0]
+    assert heavy < 45_000_000
 
 
 def test_fingerprints_on_awkward_rows(awkward, nothing, spark):
