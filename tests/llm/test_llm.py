@@ -641,3 +641,32 @@ def test_the_bound_on_rules_counts_useful_ones_of_each_label(spark):
     with pytest.warns(UserWarning, match="beyond 4"):
         few = urlrules.mine(table, 0.02, 0.8, most_rules=4)
     assert few.cut > 0 and {r[1] for r in few.rules} == {"allow", "block"}
+
+
+@pytest.mark.parametrize("crowd", [1, 4])
+def test_mined_rules_do_not_depend_on_the_groups(spark, crowd, monkeypatch):
+    from itertools import combinations
+
+    monkeypatch.setattr(urlrules, "CROWD", crowd)  # 1: many groups
+    rng, rows = random.Random(5), []
+    for _ in range(400):
+        own = sorted(rng.sample("abcdefgh", rng.randrange(3, 7)))
+        rows.append((own + ["t"] * ("a" in own), "block" if {"a", "b", "c"} <= set(own) or rng.random() < 0.1 else "allow"))
+    mined = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.02, 0.7)
+    want = {}
+    for n in (1, 2, 3, 4):
+        for items in combinations("abcdefght", n):
+            fits = [label for own, label in rows if set(items) <= set(own)]
+            for label in ("allow", "block"):
+                if fits.count(label) >= 0.02 * len(rows) and fits.count(label) / len(fits) >= 0.7:
+                    want[(frozenset(items), label)] = fits.count(label) / len(fits)
+    want = {k: c for k, c in want.items() if not any((k[0] - {x}, k[1]) in want and want[(k[0] - {x}, k[1])] >= c for x in k[0])}
+    assert {(items, label): c for items, label, c, _ in mined.rules} == pytest.approx(want)  # a and t always come together
+
+
+def test_long_common_paths_are_mined_in_bounded_time(spark):
+    rng = random.Random(2)
+    urls = [f"http://{'abc'[i % 3]}{i}.{['net/de', 'org/fr'][i % 2]}/" + "/".join(f"p{k}" for k in range(24) if rng.random() < 0.95) + f"/{i}" for i in range(200)]
+    urls += [f"http://example.net/de/8/" + "/".join(f"p{k}" for k in range(24) if rng.random() < 0.95) for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert urlrules.judge(pages).count() == len(urls)
