@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import exactdedup, fingerprints, mixing, neardup, packing, quality, tokenfile, toxicity, urlrules, warc
 from .common import table
@@ -37,15 +36,16 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with known faults: the last byte of some pages is another."""
-    fault = (F.col("page_id") % 997 == 13) & F.col("html").endswith(">")
-    return pages.withColumn("html", F.when(fault, F.concat(F.expr("left(html, length(html) - 1)"), F.lit("~"))).otherwise(F.col("html")))
+def last_byte_changed(page_id: int | None, payload: bytes) -> bytes:
+    """The known fault of a replica: the last byte of some pages is another."""
+    return payload[:-1] + b"~" if page_id is not None and page_id % 997 == 13 and payload.endswith(b">") else payload
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return warc.fixity(spark, pages, damaged(pages)).select("page_id", "shard", "pos", "offset", "length", "digest", "status")
+    """Files are written, copied with faults, and both read back."""
+    files = warc.write_warc(table(spark, sf_dir, "pages"))
+    replica = warc.copy_warc(files, change=last_byte_changed)
+    return warc.audit(warc.read_warc(files), warc.read_warc(replica)).select("page_id", "shard", "pos", "offset", "length", "digest", "status")
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_warc": r"""
 WITH r AS (SELECT page_id, html, coalesce(CAST(floor(page_id / 512.0) AS BIGINT), -4611686018427387904) AS shard,
-  'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 2020-01-01T00:00:00Z' || chr(13) || chr(10)
+  'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Date: 2020-01-01T00:00:00Z' || chr(13) || chr(10)
   || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g') || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || sha256(coalesce(html, '')) || chr(13) || chr(10)
   || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM pages),
 d AS (SELECT page_id, shard, sha256(rec) AS digest, strlen(rec) AS length, CASE WHEN page_id % 997 = 13 AND html LIKE '%>' THEN 'changed' ELSE 'ok' END AS status FROM r)
