@@ -8,13 +8,14 @@ its XXH64), which ends in a footer of fixed size. A reader takes the footer,
 the table and the index, and decompresses only frames that it needs; a frame
 whose checksum differs raises ``ValueError``.
 
-Shards follow the order of doc_id (null first; rows of one id by text). Each
+Shards follow the order of doc_id (null first; rows of one id by the beginning of
+their text, then its hash; very many of one id fill several shards). Each
 is written beside its final name and renamed, so a task that runs again leaves
 one whole file.
 
 Nulls: a null text is empty and gives its end id alone. An empty table gives no
 rows. Repeated rows are written each. A document never spans frames, so a very
-long one has a long frame. Other columns of the input are ignored.
+long one has a long frame. Other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, stored
+from .common import new_path, partitions, small_batches, stored
 from .tokens import chunks, encoder
 
 # Fixed values of the published seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-FRAME_IDS = 65_536
+FRAME_IDS, BEGIN = 65_536, 64
 _INDEX = np.dtype([("doc_id", "<i8"), ("there", "u1"), ("frame", "<u4"), ("n", "<u4")])
+_ENTRY = struct.Struct("<qBII")  # as _INDEX
 _SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("sum", "<u4")])
 
 
@@ -53,10 +55,11 @@ class ShardWriter:
         self.held: list[bytes] = []
         self.size = 0
         self.seek: list[tuple[int, int, int]] = []
-        self.index: list[tuple[int, int, int, int]] = []
+        self.index, self.docs = bytearray(), 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.index.append((doc_id or 0, doc_id is not None, len(self.seek), len(ids) // 4))
+        self.index += _ENTRY.pack(doc_id or 0, doc_id is not None, len(self.seek), len(ids) // 4)
+        self.docs += 1
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= self.most:
@@ -72,7 +75,7 @@ class ShardWriter:
 
     def close(self) -> None:
         self.flush()
-        index = np.array(self.index, _INDEX).tobytes()
+        index = bytes(self.index)
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
         seek = np.array(self.seek, _SEEK).tobytes()
         footer = struct.pack("<IBI", len(self.seek), CHECKSUMS, SEEK_MAGIC)
@@ -154,15 +157,22 @@ def _written(path: str, folder: str, end_id: int):
             writer.close()
             out.close()
             fs.move(draft, place)
-            yield pa.record_batch([pa.array([task.partitionId()], pa.int64()), pa.array([target]), pa.array([len(writer.index)], pa.int64()), pa.array([ids], pa.int64())], names=["shard", "path", "docs", "ids"])
+            yield pa.record_batch([pa.array([task.partitionId()], pa.int64()), pa.array([target]), pa.array([writer.docs], pa.int64()), pa.array([ids], pa.int64())], names=["shard", "path", "docs", "ids"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
-    """Writes all documents in ascending order; returns the list of shards (shard, path, docs, ids), itself stored."""
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, shards: int | None = None) -> DataFrame:
+    """Writes all documents in ascending order; returns the list of shards (shard, path, docs, ids), itself stored.
+
+    There are ``shards`` files, or as many as the session has shuffle partitions (fewer where they are small).
+    """
+    small_batches(docs.sparkSession)
     folder = folder or new_path(docs.sparkSession, "token-files")
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "_begin", "_h", "_number"]  # the number only splits rows that are alike
+    keyed = docs.select("doc_id", "text", F.substring("text", 1, BEGIN).alias("_begin"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_number"))
+    dealt = keyed.repartitionByRange(shards, *order) if shards else keyed.repartitionByRange(*order)
+    ordered = dealt.sortWithinPartitions(*order).select("doc_id", "text")
     return stored(ordered.mapInArrow(_written(tokenizer_path, folder, end_id), "shard long, path string, docs long, ids long"), "token-shards")
 
 

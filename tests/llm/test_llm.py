@@ -699,3 +699,112 @@ def test_long_common_paths_are_mined_in_bounded_time(spark):
     urls += [f"http://example.net/de/8/" + "/".join(f"p{k}" for k in range(24) if rng.random() < 0.95) for _ in range(60)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     assert urlrules.judge(pages).count() == len(urls)
+
+
+# --- the whole pipeline, and names ------------------------------------------
+
+
+def test_dotted_and_clashing_names_pass_through(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 8, "a", i, i, i, i) for i in range(40)], "doc_id long, text string, source string, `a.b` long, _row long, `x``y` long, _hash long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    for out in (exactdedup.deduplicated(docs), neardup.deduplicated(docs), mixing.mixed_documents(docs), quality.accepted(docs, labels, threshold=0.0)):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert {r[k] for k in (0, 3, 4, 5, 6)} == {r[0]}
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """Against projected gradient steps on the dual problem itself."""
+    rng = np.random.default_rng(8)
+    rows = [np.sort(rng.choice(12, rng.integers(2, 6), replace=False)) for _ in range(24)]
+    ratio, y = rng.normal(size=12), np.where(rng.random(24) < 0.4, 1, -1)
+    x = np.zeros((24, 12))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt(len(r) + 1.0)
+    most = np.where(y > 0, 24 / (2 * (y > 0).sum()), 24 / (2 * (y < 0).sum()))
+    gram, alpha = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(24)
+    for _ in range(40_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, most)
+    value = lambda w: 0.5 * w @ w + (most * np.maximum(0, 1 - y * (x @ w))).sum()
+    best = (x * y[:, None]).T @ alpha
+    got = quality.dual_coordinate_descent(rows, np.ones(12) * ratio, y, rounds=4_000)
+    w = np.divide(got, ratio)
+    assert value(w) == pytest.approx(value(best), rel=2e-3)
+
+
+def test_a_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    from redquill.llm.common import labelled_sample
+
+    got = Counter(r.y for r in labelled_sample(docs, labels, "quality", 50, chars=1_000).collect())
+    assert got == {0: 10, 1: 10} and Counter(r.y for r in labelled_sample(docs, labels, "quality", 50).collect()) == {0: 50, 1: 50}
+
+
+def test_worker_memory_of_words_is_bounded():
+    from redquill.llm.common import Words
+
+    memory = Words(100_000)
+    for k in range(200):
+        memory.keep({f"{k}-{i}": b"x" * (i % 50) for i in range(20)})
+        assert memory.held <= 100_000 and memory.held == memory._size(memory)
+    assert "0-0" in memory  # what came first stays
+    memory.keep({"y" * 90_000: b""})
+    assert len(memory) and max(map(len, memory)) < 100
+
+
+def test_rows_that_repeat_very_often(spark):
+    docs = spark.createDataFrame([(None, "the same", "s", k) for k in range(300)] + [(i, f"own text {i}", "t", i) for i in range(60)], "doc_id long, text string, source string, n long").repartition(5)
+    got = mixing.mix(docs, block=20).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("want"), F.count("*").alias("n")).collect()
+    assert all(abs(r.t - r.want) <= 12 for r in got) and sum(r.n for r in got) == 360
+    taken = Counter(r.n for r in mixing.mixed_documents(docs).where("source = 's'").collect())
+    assert sum(taken.values()) * 2 == next(r.t for r in got if r.source == "s") or max(taken.values()) <= 3
+    judged = exactdedup.judge(docs.select("doc_id", "text"), hot_rows=10)
+    assert judged.where("group_size = 300").count() == 300 and judged.where("kept").count() == 61
+
+
+def brute_pipeline(rows, accepted):
+    """What the stages up to mixing must keep, from the ids that the classifier accepts."""
+    kept = [r for r in rows if r[0] in accepted]
+    norm, best = lambda t: re.sub(r"[\x20\x09-\x0D]+", "", t or ""), {}
+    for r in kept:
+        key = (-len(r[1] or ""), r[0])
+        if norm(r[1]) not in best or key < best[norm(r[1])][0]:
+            best[norm(r[1])] = (key, r)
+    kept = [r for _, r in best.values()]
+    return {min(map(int, group)) for group in brute_classes([(r[0], r[1]) for r in kept])}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    good = [(i, words(rng, 40, 3_000), "en", f"s{i % 3}") for i in range(80)]
+    rows = good + [(100 + i, good[i][1].replace(" ", "  ", 3), "en", "s0") for i in range(20)]  # copies but for blanks
+    rows += [(200 + i, good[i][1] + " another", "en", "s1") for i in range(20)] + [(300 + i, "!!! $$$ " * 12 + str(i), "en", "s2") for i in range(40)]
+    rows += [(400, words(rng, 20_000, 5_000), "en", "s2"), (401, None, None, None), (402, "", "en", "s1")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, `odd.name` string, _row string, node string"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "o", "r", "n") for r in rows], columns).repartition(4)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 300), 0) for r in rows if r[0] < 400], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    sf_dir, docs, seen = f"file://{tmp_path}", spark.read.parquet(f"file://{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        docs = corpus_pipeline.stored(out, "pipeline-test")
+        seen[name] = [r.doc_id for r in docs.collect()]
+    assert not [i for i in seen["quality"] if 300 <= i < 400]
+    assert set(seen["near_dedup"]) == brute_pipeline(rows, set(seen["quality"])) and len(set(seen["near_dedup"])) == len(seen["near_dedup"])
+    assert set(seen["mixing"]) <= set(seen["near_dedup"]) and max(Counter(seen["mixing"]).values()) <= 3
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(seen["mixing"])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
