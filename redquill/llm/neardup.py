@@ -135,17 +135,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _shingled(width: int):
-    """(node, shingles) from (text, words, node); rows whose words are others' are left out."""
+    """(node, shingles) from (text, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            nodes, found = [], []
-            for text, words, node in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                codes = word_codes(text or "")
-                if _node(codes) == words:
-                    nodes.append(node)
-                    found.append(shingles(codes, width)[0].view(np.int64))
-            yield pa.record_batch([pa.array(nodes, pa.int64()), _lists(found)], names=["node", "shingles"])
+            found = [shingles(word_codes(text or ""), width)[0].view(np.int64) for text in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(1), _lists(found)], names=["node", "shingles"])
 
     return run
 
@@ -185,9 +180,11 @@ def _overlap(n: Column, m: Column, threshold: float) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) with whether they are linked, stored. A node of very many pairs is dealt out to several tasks."""
-    pairs = stored(pairs, "near-candidates")
-    both = pairs
-    for side, other, name in (("a", "b", "_x"), ("b", "a", "_y")):
+    pairs = both = stored(pairs, "near-candidates")
+    # Only the sets that are asked for move, and none where the list of them is small enough for Spark to send it out.
+    asked = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-compared")
+    sets = sets.join(asked, "node", "left_semi")
+    for side, other, name in (("b", "a", "_y"), ("a", "b", "_x")):
         counts = stored(pairs.groupBy(side).agg(F.count("*").alias("_pairs")), "near-counts")
         both = attach(both, sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side, counts, "_pairs", F.col(other))
     same = F.size(F.array_intersect("_x", "_y"))
@@ -241,10 +238,10 @@ def _banded(sketches: DataFrame, words: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of some nodes, stored."""
-    asked = stored(sketches.select(F.col("row").alias("node"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("node").alias("words")).join(nodes, "node", "left_semi"), "near-asked")
+    asked = stored(sketches.select(F.col("row").alias("node"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(nodes, "node", "left_semi"), "near-asked")
     texts = _texts(docs)
     found = texts.join(asked, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    made = found.select("text", "words", "node").mapInArrow(_shingled(width), "node long, shingles array<long>")
+    made = found.select("text", "node").mapInArrow(_shingled(width), "node long, shingles array<long>")
     repeated = sketches.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
     return stored(made.dropDuplicates(["node"]) if repeated else made, "near-sets")
 
