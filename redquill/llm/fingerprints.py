@@ -108,21 +108,21 @@ def _splitters(keys: DataFrame, bucket_rows: int) -> list[tuple[int | None, int]
     return out
 
 
-def _with_bucket(rows: DataFrame, splitters: list[tuple[int | None, int]]) -> DataFrame:
-    """Adds ``bucket``: how many splitters a row's key (is null, ~doc_id, _h) reaches, by halving."""
-    rows = rows.withColumn("bucket", F.lit(0))
+def _bucket(splitters: list[tuple[int | None, int]]) -> Column:
+    """How many splitters a row's key (is null, ~doc_id, _h) reaches, by halving."""
     if not splitters:
-        return rows.withColumn("bucket", F.col("bucket").cast("long"))
+        return F.lit(0).cast("long")
     texts = [",".join(str(int(f(x))) for x in splitters) for f in (lambda x: x[0] is None, lambda x: x[0] or 0, lambda x: x[1])]
     absent, ids, hashes = (F.split(F.lit(t), ",").cast(f"array<{kind}>") for t, kind in zip(texts, ("int", "bigint", "bigint")))
     own_absent, own_id = F.col("doc_id").isNull().cast("int"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long"))
-    # A step is a column of its own: a lambda would keep Spark from seeing that two plans have the same exchange.
-    for step in [1 << b for b in reversed(range(len(splitters).bit_length()))]:
-        n = F.col("bucket")
-        a, i, h = (F.get(x, n + F.lit(step - 1)) for x in (absent, ids, hashes))
-        reached = (own_absent > a) | ((own_absent == a) & ((own_id > i) | ((own_id == i) & (F.col("_h") >= h))))
-        rows = rows.withColumn("bucket", F.when((n + step <= len(splitters)) & reached, n + step).otherwise(n))
-    return rows.withColumn("bucket", F.col("bucket").cast("long"))
+
+    def reaches(k: Column) -> Column:
+        a, i, h = F.get(absent, k), F.get(ids, k), F.get(hashes, k)
+        return (own_absent > a) | ((own_absent == a) & ((own_id > i) | ((own_id == i) & (F.col("_h") >= h))))
+
+    steps = [1 << b for b in reversed(range(len(splitters).bit_length()))]
+    place = lambda n, step: F.when(n + step <= len(splitters), F.when(reaches(n + step - 1), n + step).otherwise(n)).otherwise(n)
+    return F.aggregate(F.lit(steps), F.lit(0), place).cast("long")
 
 
 def _bucketed(docs: DataFrame, bucket_rows: int) -> DataFrame:
@@ -130,14 +130,14 @@ def _bucketed(docs: DataFrame, bucket_rows: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
     splitters = _splitters(rows.select("doc_id", "_h", F.octet_length("_text").cast("long").alias("_size")), bucket_rows)
-    rows = _with_bucket(rows, splitters).select("bucket", "doc_id", "_h", "_text")
+    rows = rows.withColumn("bucket", _bucket(splitters)).select("bucket", "doc_id", "_h", "_text")
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.bitwise_not("doc_id").alias("d"), F.col("_h").alias("h"))
     first = rows.groupBy("bucket").agg(F.min(key).alias("_first"))
     # The row after a bucket's last is the next bucket's first; after the last bucket comes the first.
     places = Window.orderBy("bucket")  # one row for each bucket
     before, last = F.lag("bucket").over(places), F.last("bucket").over(places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = first.select("bucket", "_first", F.coalesce(before, last).alias("_to"))
-    follow = rows.join(F.broadcast(heads), "bucket").where(key == F.col("_first")).dropDuplicates(["bucket"])
+    follow = rows.join(F.broadcast(heads), "bucket").where(key == F.col("_first"))  # rows alike may be several; one would do
     ghosts = follow.select(F.col("_to").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "_h", "_text", F.lit(1).alias("_ghost"))
     # A task takes one bucket or a few: its words are counted in memory, and tasks joined together would spill.
     return rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts).repartition(len(splitters) + 1, "bucket")

@@ -181,9 +181,9 @@ def _overlap(n: Column, m: Column, threshold: float) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) with whether they are linked, stored. A node of very many pairs is dealt out to several tasks."""
     pairs = both = stored(pairs, "near-candidates")
-    # Only the sets that are asked for move, and none where the list of them is small enough for Spark to send it out.
+    # Only the sets that are asked for move on. Lists of nodes grow with the documents, so none is broadcast, however small.
     asked = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-compared")
-    sets = sets.join(asked, "node", "left_semi")
+    sets = sets.join(asked.hint("merge"), "node", "left_semi")
     for side, other, name in (("b", "a", "_y"), ("a", "b", "_x")):
         counts = stored(pairs.groupBy(side).agg(F.count("*").alias("_pairs")), "near-counts")
         both = attach(both, sets.select(F.col("node").alias(side), F.col("shingles").alias(name)), side, counts, "_pairs", F.col(other))
@@ -240,7 +240,7 @@ def _sets(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, width: int) ->
     """(node, shingles) of some nodes, stored."""
     asked = stored(sketches.select(F.col("row").alias("node"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).join(nodes, "node", "left_semi"), "near-asked")
     texts = _texts(docs)
-    found = texts.join(asked, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    found = texts.join(asked.hint("merge"), (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     made = found.select("text", "node").mapInArrow(_shingled(width), "node long, shingles array<long>")
     repeated = sketches.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
     return stored(made.dropDuplicates(["node"]) if repeated else made, "near-sets")
