@@ -8,8 +8,10 @@ don't fit together is refused as a whole, with one code on all its rows.
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 COMMENTS = {"comment", "comment_reply", "comment_resolve"}
@@ -55,16 +57,28 @@ def order_batch(operations: list[tuple[int, str, str | None, str | None, str | N
 
 
 def scheduled(operations: DataFrame) -> DataFrame:
-    """(doc_id, op, step, code) for rows (doc_id, op, kind, made, used, selector); a document's batch is one group."""
-    own = lambda v: None if v is None or pd.isna(v) else v
+    """(doc_id, op, step, code) for rows (doc_id, op, kind, made, used, selector).
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(i), k, own(m), own(u), own(s)) for i, k, m, u, s in group.sort_values("op")[["op", "kind", "made", "used", "selector"]].itertuples(index=False, name=None)]
-        steps, code = order_batch(rows)
-        out = pd.DataFrame({"doc_id": group["doc_id"].iloc[0], "op": [r[0] for r in rows]})
-        out["step"] = pd.array([steps.get(r[0]) for r in rows], dtype="Int32")
-        out["code"] = code
-        return out
+    Rows are dealt out by document and sorted, so a batch is a run of rows in a
+    stream; a task takes any number of batches without a group of its own for each.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(column.to_pylist() for column in batch.columns))
+
+        out: list[tuple] = []
+        for doc_id, batch in itertools.groupby(rows(), key=lambda r: r[0]):
+            own = [r[1:] for r in batch]
+            steps, code = order_batch(own)
+            out += [(doc_id, r[0], steps.get(r[0]), code) for r in own]
+            if len(out) >= 10_000:
+                yield made(out)
+                out = []
+        yield made(out)
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string()]
+    made = lambda out: pa.record_batch([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["doc_id", "op", "step", "code"])
     kept = operations.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(op AS INT) AS op", "kind", "made", "used", "selector")
-    return kept.groupBy("doc_id").applyInPandas(run, "doc_id long, op int, step int, code string")
+    return kept.repartition("doc_id").sortWithinPartitions("doc_id", "op").mapInArrow(run, "doc_id long, op int, step int, code string")

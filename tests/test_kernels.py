@@ -1,8 +1,10 @@
 import itertools
 import random
+import tracemalloc
 
 import pytest
 
+from redquill.operators import schedule, textdiff
 from redquill.operators.markdown import strip_marks, stripped
 from redquill.operators.schedule import order_batch, scheduled
 from redquill.operators.textdiff import char_diff, insertion_diff, refined, tokens, word_diff
@@ -106,3 +108,74 @@ def test_insertions_only():
         only = any("".join(c) == old for c in itertools.combinations(new, len(old)))
         got = insertion_diff(old, new)
         assert (got is not None) == only and (got is None or all(op[1] != "delete" for op in got))
+
+
+def _common(a, b):
+    d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i + 1][j + 1] = d[i][j] + 1 if x == y else max(d[i][j + 1], d[i + 1][j])
+    return d[-1][-1]
+
+
+def test_scripts_are_shortest_and_rebuild_both_texts():
+    rng = random.Random(1)
+    for _ in range(800):
+        a, b = ["".join(rng.choice(["a", "b", " ", "word", ","]) for _ in range(rng.randrange(14))) for _ in range(2)]
+        assert len(textdiff._pairs(tokens(a), tokens(b))) == _common(tokens(a), tokens(b))
+        for semantic in (False, True):
+            rows = word_diff(a, b, semantic)
+            assert "".join(r[4] for r in rows if r[1] != "insert") == a and "".join(r[4] for r in rows if r[1] != "delete") == b
+
+
+def test_heaviest_chain_by_brute_force():
+    rng = random.Random(2)
+    weight = lambda t: len(t) * (100 if len(t) > 3 else 1)
+    for _ in range(500):
+        a, b = [[rng.choice(["word", "other", " ", "a", ","]) for _ in range(rng.randrange(12))] for _ in range(2)]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = max(best[i + 1][j], best[i][j + 1], best[i][j] + weight(x) * (x == y))
+        chain = textdiff._heaviest(a, b)
+        assert all(a[i] == b[j] for i, j in chain) and all(p < q and r < s for (p, r), (q, s) in zip(chain, chain[1:]))
+        assert sum(weight(a[i]) for i, _ in chain) == best[-1][-1]
+
+
+def test_long_texts_without_a_common_word():
+    a, b = (" ".join(f"{x}{i}" for i in range(20_000)) for x in "ab")
+    tracemalloc.start()
+    rows = word_diff(a, b, semantic=True)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert "".join(r[4] for r in rows if r[1] != "insert") == a
+
+
+def test_a_refused_pair_is_an_error_row(spark, monkeypatch):
+    def refuse(old, new):
+        if old == "x":
+            raise ValueError("DIFF_TOKEN_LIMIT")
+        return word_diff(old, new)
+
+    pairs = spark.createDataFrame([(1, "x", "y"), (2, "a b", "a c")], "id long, old string, new string")
+    got = {(r.id, r.type, r.text) for r in textdiff.diff_rows(pairs, "id long", refuse).collect()}
+    assert (1, "error", "DIFF_TOKEN_LIMIT") in got and (2, "insert", "c") in got
+
+
+def test_schedule_of_many_batches_equals_each_alone(spark):
+    rng, rows = random.Random(4), []
+    for doc in range(200):
+        for op in range(rng.randrange(1, 6)):
+            rows.append((doc, op, rng.choice(["comment", "redline"]), rng.choice([None, f"k{op}"]), rng.choice([None, None, f"k{rng.randrange(4)}"]), rng.choice([None, f"s{op}"])))
+    got = {(r.doc_id, r.op): (r.step, r.code) for r in schedule.scheduled(spark.createDataFrame(rows, "doc_id long, op int, kind string, made string, used string, selector string").repartition(7)).collect()}
+    assert len(got) == len(rows)
+    for doc in range(200):
+        steps, code = schedule.order_batch([r[1:] for r in rows if r[0] == doc])
+        assert all(got[doc, r[1]] == (steps.get(r[1]), code) for r in rows if r[0] == doc)
+
+
+def test_an_edit_without_a_place_is_refused():
+    from redquill.operators.redline import redline
+
+    xml = b'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>a b</w:t></w:r></w:p></w:body></w:document>'
+    assert redline(xml, [(None, "x")], "me", "2020-01-01T00:00:00Z") == (xml, [(None, "TARGET_NOT_FOUND")])
