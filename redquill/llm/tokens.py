@@ -71,7 +71,7 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.memo = Words()  # ids by lower-cased word between white space, and by piece
+        self.memo = Words(96 << 20)  # ids by lower-cased word between white space, and by piece
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
