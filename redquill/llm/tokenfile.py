@@ -39,6 +39,8 @@ from .tokens import chunks, encoder
 # Fixed values of the published seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FRAME_IDS, BEGIN = 65_536, 64
+#: Bytes that a worker's memory of words takes at most while it writes shards.
+WORD_BYTES = 96 << 20
 _INDEX = np.dtype([("doc_id", "<i8"), ("there", "u1"), ("frame", "<u4"), ("n", "<u4")])
 _ENTRY = struct.Struct("<qBII")  # as _INDEX
 _SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("sum", "<u4")])
@@ -137,7 +139,7 @@ def _written(path: str, folder: str, end_id: int):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path, WORD_BYTES), np.array([end_id], "<u4").tobytes()
         writer = fs = out = None
         target = f"{folder}/shard-{task.partitionId():07d}.ids.zst"
         ids = 0

@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 
-from .common import Words, remembers
+from .common import MEMORY_BYTES, Words, remembers
 
 # The classes that the pre-tokenizer's pattern names, within Latin-1 and after lower-casing.
 _LETTER = "a-zªµºß-öø-ÿ"
@@ -71,7 +71,7 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.memo = Words(96 << 20)  # ids by lower-cased word between white space, and by piece
+        self.memo = Words()  # ids by lower-cased word between white space, and by piece
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -117,10 +117,14 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker for a vocabulary file."""
+def encoder(path: str, memory: int = MEMORY_BYTES) -> Encoder:
+    """The encoder of this Python worker for a vocabulary file, remembering words in at most ``memory`` bytes."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    memo = _ENCODERS[path].memo
+    if memo.most > memory:
+        memo.clear()
+    memo.most = memory
     return _ENCODERS[path]
 
 

@@ -808,3 +808,16 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_encoder_keeps_to_the_memory_that_its_caller_names():
+    from redquill.llm.queries import tokenizer_path
+    from redquill.llm.tokens import encoder
+
+    texts = [" ".join(f"word{i}x{k}" for i in range(300)) for k in range(8)]
+    wide = encoder(tokenizer_path(), 96 << 20)
+    want = wide.encode(texts)
+    assert wide.memo.most == 96 << 20 and wide.memo.held > 0
+    narrow = encoder(tokenizer_path(), 1 << 16)
+    assert narrow is wide and narrow.memo.held == 0  # what a wider bound let in is forgotten
+    assert narrow.encode(texts) == want and narrow.memo.held <= 1 << 16
