@@ -52,9 +52,10 @@ class Dialect:
         return f"array_join(array_sort(collect_set({value})), ',')" if self.spark else f"array_to_string(list_sort(list_distinct(list({value}))), ',')"
 
     def paragraphs(self) -> str:
+        """Lines of documents; a null text is empty, one empty line."""
         if self.spark:
-            return r"SELECT doc_id, CAST(p + 1 AS INT) AS idx, text FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (p, text) FROM documents)"
-        return "SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS idx, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+            return r"SELECT doc_id, CAST(p + 1 AS INT) AS idx, text FROM (SELECT doc_id, posexplode(split(coalesce(text, ''), '\n')) AS (p, text) FROM documents)"
+        return "SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS idx, unnest(l) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
 
     def words(self, source: str, columns: str) -> str:
         """A row for each word of ``norm`` that is longer than two characters."""

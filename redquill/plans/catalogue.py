@@ -7,6 +7,7 @@ the oracle runs the other. Kernels that SQL cannot express stand below.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +26,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def over(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """SQL over the given tables; the session's own views of these names stay as they are."""
+    after = r"\b(FROM|JOIN)\s+"  # a name elsewhere is a column or an alias
+    made = {name: f"{name}_{uuid.uuid4().hex}" for name in tables if re.search(rf"{after}{name}\b", text)}
+    try:
+        for name, view in made.items():
+            tables[name].createOrReplaceTempView(view)
+            text = re.sub(rf"{after}{name}\b", rf"\1 {view}", text)
+        return spark.sql(text)
+    finally:
+        for view in made.values():
+            spark.catalog.dropTempView(view)
+
+
 def query(write: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     """Registers a query under the function's name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = write(SPARK)
-        for name in TABLES:
-            if re.search(rf"\b{name}\b", text):
-                read(spark, sf_dir, name).createOrReplaceTempView(name)
-        return spark.sql(text)
+        return over(spark, text, {name: read(spark, sf_dir, name) for name in TABLES if re.search(rf"\b{name}\b", text)})
 
     run.__doc__ = write.__doc__
     QUERIES[write.__name__], ORACLES[write.__name__] = run, write(ORACLE)

@@ -21,8 +21,8 @@ KEYS = "doc_id long"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text); dealt out where a small table has fewer partitions than the cluster has cores, as parsing costs more than moving."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text IS NOT NULL")
+    """(doc_id, text), a null text as an empty one; dealt out where a small table has fewer partitions than the cluster has cores, as parsing costs more than moving."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS text")
     cores = spark.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
@@ -129,7 +129,7 @@ _XML = f"""{_LINES}, marked AS (SELECT doc_id, idx, '<w:p>' || CASE WHEN mark =
   || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(13), '&#13;') || CASE kind WHEN 'del' THEN '</w:delText></w:r>' ELSE '</w:t></w:r>' END
   || CASE WHEN kind = '' THEN '' ELSE '</w:' || kind || '>' END || '</w:p>' AS xml FROM lines),
 xmls AS (SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{markup.WORD}"><w:body>' || string_agg(xml, '' ORDER BY idx) || '</w:body></w:document>' AS xml FROM marked GROUP BY doc_id),
-parts AS (SELECT doc_id, 0 AS seq, 'word/document.xml' AS part_name, xml AS payload FROM xmls UNION ALL SELECT doc_id, 1, 'docProps/source.txt', text FROM documents WHERE text IS NOT NULL)"""
+parts AS (SELECT doc_id, 0 AS seq, 'word/document.xml' AS part_name, xml AS payload FROM xmls UNION ALL SELECT doc_id, 1, 'docProps/source.txt', coalesce(text, '') FROM documents)"""
 
 
 def _views(view: str) -> str:

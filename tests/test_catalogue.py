@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 from redquill.operators.textdiff import tokens, word_diff
-from redquill.plans import catalogue, content, packages  # noqa: F401
+from redquill.plans import catalogue, content, packages, requests  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
