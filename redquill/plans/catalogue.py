@@ -377,24 +377,11 @@ def fidelity_compare(d):
     SELECT doc_id, 0 AS idx, 'REJECT_PARAGRAPH_COUNT' AS code FROM pairs WHERE n <> m UNION ALL SELECT doc_id, idx, 'REJECT_TEXT' AS code FROM texts WHERE place <= 5"""
 
 
-@query
-def numbering_integrity(d):
-    """References whose definition is missing at some step (line to part to supplier below a bound)."""
-    return "SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'NUM_MISSING' ELSE 'ABSTRACT_MISSING' END AS code FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 7 <> 0 LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 5 <> 0 WHERE p_partkey IS NULL OR s_suppkey IS NULL"
-
-
 # --- batches: an order is a document, a line an operation -----------------------------
 
 OPS = "WITH ops AS (SELECT l_orderkey AS doc_id, l_linenumber AS op, l_partkey % 3 AS para, CASE l_partkey % 4 WHEN 0 THEN 'comment' WHEN 1 THEN 'format' ELSE 'redline' END AS kind FROM lineitem)"
 
 
-@query
-def batch_conflicts(d):
-    """Two text writes, or a text and a format write, on one paragraph conflict; comments never do."""
-    return f"""{OPS}, w AS (SELECT doc_id, para, sum(CASE WHEN kind = 'redline' THEN 1 ELSE 0 END) AS texts, sum(CASE WHEN kind = 'format' THEN 1 ELSE 0 END) AS formats FROM ops GROUP BY doc_id, para)
-    SELECT doc_id, para, CASE WHEN texts > 1 THEN 'OVERLAPPING_SOURCE_TARGETS' ELSE 'REVISION_ORDER_CONFLICT' END AS code FROM w WHERE texts > 1 OR (texts = 1 AND formats > 0)"""
-
-
 @query
 def operation_order(d):
     """The stable order of operations that don't depend on each other: comments first, then by index."""
